@@ -17,8 +17,8 @@ from .common import TwoGenerationCache, id_remainder, slices, table
 
 BITS = 20
 #: The model is fitted on about so many labelled documents, chosen by a hash of their id.
-SAMPLE = 8_000
-EPOCHS = 4
+SAMPLE = 10_000
+EPOCHS = 6
 THRESHOLD = 0.3
 MARKS = ".,;:!?\"'()[]{}|*#_-…«»“”„¿¡"
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +53,7 @@ class Features:
 
 
 class Ftrl:
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.4, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the intercept
 
@@ -112,7 +112,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary()), batch.column(2).slice(a, b - a)], names=["id", "places", "label"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        model = Ftrl()
+        # a word must be seen in about l1 toxic documents to gain a weight; small samples ask for fewer
+        model = Ftrl(l1=float(np.clip(group["label"].sum() / 80, 1.0, 10.0)))
         order = np.argsort(pd.util.hash_array(group["id"].to_numpy(object)), kind="stable")
         docs = [(np.append(np.frombuffer(p, "<u4").astype(np.int64), 1 << BITS), y) for p, y in zip(group["places"].iloc[order], group["label"].iloc[order])]
         for _ in range(epochs):
@@ -122,7 +123,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         at = np.union1d(np.flatnonzero(w), [1 << BITS])
         return pd.DataFrame({"place": at, "weight": w[at]})
 
-    found = rows.mapInArrow(prepare, "id string, places binary, label double").groupBy(F.lit(0)).applyInPandas(learn, "place long, weight double").collect()
+    found = rows.mapInArrow(prepare, "id string, places binary, label double").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "place long, weight double").collect()
     at, w = np.array([r["place"] for r in found], np.int64), np.array([r["weight"] for r in found])
     inner = at < 1 << BITS
     return Model(at[inner], w[inner], float(w[~inner].sum()))
