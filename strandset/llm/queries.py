@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, langid, packing, toxicity
+from . import ann, bpe, langid, packing, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
+    "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
 }
