@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, bpe, langid, packing, toxicity
+from . import ann, bpe, embedding_dedup, langid, packing, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -8,5 +8,6 @@ QUERIES = {
     "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
