@@ -106,7 +106,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         all_d, all_i = np.concatenate((best[live], d), 1), np.concatenate((which[live], ids[rows]), 1)
         first = np.lexsort((all_i, all_d), axis=1)[:, :k]
         best[live], which[live] = np.take_along_axis(all_d, first, 1), np.take_along_axis(all_i, first, 1)
-    found = np.isfinite(best)
+    found = np.isfinite(best) & (best <= bound[:, None])  # what is farther than k known rows is in no result
     return np.repeat(query_ids, found.sum(1)), which[found], best[found]
 
 
