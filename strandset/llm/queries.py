@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, bpe, embedding_dedup, langid, packing, toxicity
+from . import ann, bpe, embedding_dedup, langid, lm, packing, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -9,5 +9,6 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_lm": lm.op8_lm,
 }
 ORACLE_SQL: dict[str, str] = {}
