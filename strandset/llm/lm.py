@@ -28,7 +28,7 @@ OTHER, END, BEGIN = 0, 1, OUTCOMES
 END_WORD = b" "  # no word contains a blank
 FEATURES = 4
 CLASS_BITS, WORD_BITS = 14, 16
-ROUNDS, STEP, PRIOR = 8, 0.4, 2.0
+ROUNDS, STEP, PRIOR, FARTHEST = 10, 0.4, 2.0, 0.6
 BLOCK_TOKENS = 3_000_000
 MASK = 0x1FF
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -198,7 +198,8 @@ def train(counts: DataFrame, used: int, rounds: int = ROUNDS) -> MaxEnt:
         place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
         inner = place < 1 << CLASS_BITS
         for weights, rows, v in ((model.classes, place[inner], values[inner]), (model.words, place[~inner] - (1 << CLASS_BITS), values[~inner])):
-            weights[rows] += STEP * (v[:, :CLASSES] - PRIOR * weights[rows]) / (v[:, CLASSES:] + PRIOR)
+            step = STEP * (v[:, :CLASSES] - PRIOR * weights[rows]) / (v[:, CLASSES:] + PRIOR)
+            weights[rows] += np.clip(step, -FARTHEST, FARTHEST)
     return model
 
 
@@ -243,7 +244,7 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
         return pa.table(out)
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return told.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
+    return told.groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
