@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, bpe, embedding_dedup, langid, lm, packing, toxicity
+from . import ann, bpe, embedding_dedup, langid, lm, packing, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_lm": lm.op8_lm,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
