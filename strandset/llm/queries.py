@@ -1,6 +1,12 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, bpe, embedding_dedup, langid, lm, packing, suffix_dedup, toxicity
+from . import ann, bpe, embedding_dedup, jaccard_join, langid, lm, packing, substring_dedup, suffix_dedup, toxicity
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,5 +17,8 @@ QUERIES = {
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_lm": lm.op8_lm,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}
