@@ -76,11 +76,15 @@ def low_complexity(code: Column, k: int, threshold: int = 15, window: int = 7, s
     return reduce(lambda a, b: a | b, [s >= threshold for s in sums])
 
 
+def _followed_by(letters: Column):
+    return lambda head: F.transform(letters, lambda x: F.concat(head, x))
+
+
 def expand_degenerate(kmer: Column, k: int) -> Column:
     """All k-mers that a degenerate one stands for, as an array; letters keep their case."""
     table = F.create_map(*[F.lit(x) for a, b in DEGENERATE.items() for pair in ((a, b), (a.lower(), b.lower())) for x in pair])
     out = F.array(F.lit(""))
     for i in range(k):
-        letters = F.split(table[F.substring(kmer, i + 1, 1)], "")
-        out = F.flatten(F.transform(out, lambda head, letters=letters: F.transform(letters, lambda x: F.concat(head, x))))
+        letters = F.filter(F.split(table[F.substring(kmer, i + 1, 1)], ""), lambda x: x != "")
+        out = F.flatten(F.transform(out, _followed_by(letters)))
     return out

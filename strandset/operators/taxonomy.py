@@ -42,13 +42,14 @@ class Taxonomy:
 
     def __init__(self, nodes: DataFrame, merged: DataFrame | None = None, rounds: int = 7):
         self.nodes, self.merged = nodes.select("taxid", "parent", "rank"), merged
-        # paths double in each round: a path up to a node meets the path that ends at that node
+        # paths double in each round: a path up to a node meets the path that ends at that node; rounds are kept, else
+        # each would plan all before it twice
         now = self.nodes.select("taxid", F.array("taxid").alias("path"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("top"))
         for _ in range(rounds):
             up = now.select(F.col("taxid").alias("top"), F.col("path").alias("head"), F.col("top").alias("next"))
-            now = now.join(up, "top", "left").select("taxid", F.concat(F.coalesce("head", F.array().cast("array<long>")), "path").alias("path"), F.col("next").alias("top"))
+            now = now.join(up, "top", "left").select("taxid", F.concat(F.coalesce("head", F.array().cast("array<long>")), "path").alias("path"), F.col("next").alias("top")).persist()
         order = Window.orderBy("path")  # paths in order are the tree in pre-order; a taxonomy is a small table
-        self.paths = now.select("taxid", "path", F.row_number().over(order).alias("tin"))
+        self.paths = now.select("taxid", "path", F.row_number().over(order).alias("tin")).persist()
 
     def renamed(self, df: DataFrame) -> DataFrame:
         """df with merged taxids replaced by the new ones."""

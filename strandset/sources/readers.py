@@ -94,9 +94,7 @@ def dump(df: DataFrame, k: int, hashed: bool = False, to_canonical: bool = False
     if hashed and only_canonical or to_canonical and only_canonical:
         raise ValueError("only_canonical goes with neither hashes nor to_canonical")
     if hashed:
-        code = F.conv("kmer", 10, -16)
-        code = F.conv(F.col("kmer"), 10, -10).cast("long")
-        code = F.expr("cast(conv(hex(cast(cast(kmer as decimal(20,0)) % 18446744073709551616 - if(cast(kmer as decimal(20,0)) > 9223372036854775807, 18446744073709551616, 0) as bigint)), 16, -10) as bigint)")
+        code = F.conv("kmer", 10, -10).cast("long")
     else:
         text = F.upper("kmer")
         text = F.when(F.length(text) == k, text).otherwise(F.raise_error(F.concat(F.lit(f"k-mer is not of length {k}: "), text)))
