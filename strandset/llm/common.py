@@ -61,13 +61,13 @@ class TwoGenerationCache:
         self.limit, self.young, self.old = limit, {}, {}
 
     def missing(self, keys: set) -> list:
-        """Moves what is known into the young generation and returns the rest, sorted so that work repeats alike."""
+        """Moves what is known into the young generation and returns the rest."""
         young, old = self.young, self.old
         lost = keys - young.keys()
         known = lost & old.keys()
         for k in known:
             young[k] = old[k]
-        return sorted(lost - known)
+        return list(lost - known)
 
     def turn(self) -> None:
         if len(self.young) > self.limit:
