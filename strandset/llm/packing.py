@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,10 +49,28 @@ class ChunkTokenizer:
         self.cache = TwoGenerationCache(cache)
         gc.disable()  # the memo holds no cycles, and looking for some costs time
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = self.cache.missing(set().union(*cut))
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text (strings or an Arrow column of them) as little-endian unsigned 32-bit integers.
+
+        Words are told apart and numbered by Arrow; Python sees each different word of the texts once.
+        """
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn(self.cache.missing(set(words)))
+        known = list(map(self.cache.young.__getitem__, words))
+        self.cache.turn()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        n = sizes[number]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = data[np.repeat(starts[number] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cut = (4 * ends[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))]).tolist()
+        return [ids[x:y] for x, y in zip(cut[:-1], cut[1:])]
+
+    def learn(self, unknown: list[str]) -> None:
+        """Encodes words that the memo lacks."""
         young, stem_of, whole = self.cache.young, {}, []
         for word in unknown:
             # a mark at a word's end has ids of its own, and of Latin letters large and small have the same ids
@@ -79,9 +98,6 @@ class ChunkTokenizer:
                 young[word] = np.array(found.ids, "<u4").tobytes()
         for word, stem in stem_of.items():
             young[word] = young[stem] + young[word[-1]] if word[-1] in ".," else young[stem]
-        out = [b"".join(map(young.__getitem__, words)) for words in cut]
-        self.cache.turn()
-        return out
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -105,9 +121,9 @@ def token_pieces(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id", te
         coder, seen, part = _TOKENIZERS[path], np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for a, b in slices(batch.num_rows, 512):
+            for a, b in slices(batch.num_rows, 1024):
                 columns, rows, kept = {n: [] for n in names}, [], []
-                for row, ids in enumerate(coder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]), a):
+                for row, ids in enumerate(coder.encode(batch.column(1).slice(a, b - a)), a):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
