@@ -10,7 +10,9 @@ from strandset.meta import KmerSet, check_compatible
 from strandset.operators.setops import stacked
 from strandset.operators.taxonomy import Taxonomy
 
-ORDER = unsigned_key(F.col("code"))
+
+def _order():
+    return unsigned_key(F.col("code"))
 
 
 def _reduced(df: DataFrame, mode: str, taxonomy: Taxonomy | None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -30,7 +32,7 @@ def _reduced(df: DataFrame, mode: str, taxonomy: Taxonomy | None, keys: tuple[st
 def sort(s: KmerSet, mode: str = "plain", taxonomy: Taxonomy | None = None) -> KmerSet:
     """Total order by unsigned code (then taxid), after the aggregate of mode."""
     out = _reduced(s.df, mode, taxonomy)
-    return s.with_df(out.orderBy(ORDER, *[c for c in ("taxid",) if c in out.columns]), sorted=True)
+    return s.with_df(out.orderBy(_order(), *[c for c in ("taxid",) if c in out.columns]), sorted=True)
 
 
 def merge(sets: list[KmerSet], mode: str = "plain", taxonomy: Taxonomy | None = None) -> KmerSet:
@@ -47,7 +49,7 @@ def split(s: KmerSet, size: int, mode: str = "plain", taxonomy: Taxonomy | None
     if size < 1:
         raise ValueError("chunk size must be positive")
     df = _reduced(s.df, mode, taxonomy)
-    key = [ORDER, *[F.col(c) for c in df.columns if c != "code"]]
+    key = [_order(), *[F.col(c) for c in df.columns if c != "code"]]
     parted = df.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
     sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
