@@ -27,8 +27,8 @@ OUTCOMES = CLASSES * CLASSES
 OTHER, END, BEGIN = 0, 1, OUTCOMES
 END_WORD = b" "  # no word contains a blank
 FEATURES = 4
-CLASS_BITS, WORD_BITS = 14, 16
-ROUNDS, STEP, PRIOR, FARTHEST = 10, 0.4, 2.0, 0.6
+CLASS_BITS, WORD_BITS = 13, 14
+ROUNDS, STEP, PRIOR, FARTHEST = 8, 0.4, 2.0, 0.6
 BLOCK_TOKENS = 3_000_000
 MASK = 0x1FF
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,7 +184,7 @@ def train(counts: DataFrame, used: int, rounds: int = ROUNDS) -> MaxEnt:
     """Distributed updates: gradients by task, summed by row of the tables, at most 2^CLASS_BITS + 2^WORD_BITS rows to the driver."""
     model = MaxEnt(used)
     columns = [f"g{i}" for i in range(2 * CLASSES)]
-    schema = "place long, " + ", ".join(f"{c} double" for c in columns)
+    schema = "place long, " + ", ".join(f"{c} float" for c in columns)
     for _ in range(rounds):
 
         def run(batches, model=model):
@@ -192,7 +192,7 @@ def train(counts: DataFrame, used: int, rounds: int = ROUNDS) -> MaxEnt:
             if data.num_rows:
                 for base, (keys, total) in zip((0, 1 << CLASS_BITS), model.gradients(data["triple"].to_numpy(), data["n"].to_numpy())):
                     for a, b in slices(len(keys), 10_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(x) for x in total[keys[a:b]].T)], names=["place", *columns])
+                        yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(x) for x in total[keys[a:b]].T.astype(np.float32))], names=["place", *columns])
 
         sums = counts.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
         place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
