@@ -188,8 +188,9 @@ def train(counts: DataFrame, used: int, rounds: int = ROUNDS) -> MaxEnt:
     for _ in range(rounds):
 
         def run(batches, model=model):
-            data = pa.Table.from_batches(list(batches))  # a share of at most 2^27 pairs of numbers
-            if data.num_rows:
+            held = list(batches)  # a share of at most 2^27 pairs of numbers
+            data = pa.Table.from_batches(held) if held else None
+            if data is not None and data.num_rows:
                 for base, (keys, total) in zip((0, 1 << CLASS_BITS), model.gradients(data["triple"].to_numpy(), data["n"].to_numpy())):
                     for a, b in slices(len(keys), 10_000):
                         yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(x) for x in total[keys[a:b]].T.astype(np.float32))], names=["place", *columns])
