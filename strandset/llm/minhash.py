@@ -56,8 +56,8 @@ class Shingler:
     def __init__(self, cache: int = 200_000):
         self.cache = TwoGenerationCache(cache)
 
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """The sorted 32-bit shingle hashes of each text; words are cut at white space and compared in small letters."""
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit hashes of all words, text after text, and each text's number of words; cut at white space, in small letters."""
         import xxhash
 
         cut = [t.lower().split() for t in texts]
@@ -67,6 +67,11 @@ class Shingler:
         sizes = np.array(list(map(len, cut)), np.int64)
         words = np.fromiter((young[w] for ws in cut for w in ws), np.uint64, int(sizes.sum()))
         self.cache.turn()
+        return words, sizes
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """The sorted 32-bit shingle hashes of each text."""
+        words, sizes = self.words(texts)
         owner = np.repeat(np.arange(len(texts)), sizes)
         out = [np.empty(0, np.uint32)] * len(texts)
         with np.errstate(over="ignore"):

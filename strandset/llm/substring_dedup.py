@@ -1,9 +1,18 @@
-"""Removal of near-duplicate paragraphs: MinHash banding, exact verification, and removals by components."""
+"""Removal of near-duplicate paragraphs: MinHash banding, exact verification, and removals by components.
+
+Paragraphs are of two kinds, both judged on the input. Lines are compared by Jaccard similarity. Passages that begin and end
+inside lines share no line, so stretches of STRETCH words are taken as paragraphs too, wherever the MinHash value of
+the shingle that begins one is the least of APART neighbouring ones. The same passage thus begins the same stretches
+wherever it stands, and every passage of STRETCH + APART - 1 words holds at least one; all their words are one band.
+"""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +23,8 @@ from .common import slices, stored, table
 #: Paragraphs (lines) of fewer words are left alone: short lines recur by chance and as headings.
 LEAST_WORDS = 25
 MISS = 1e-3
+#: Every passage of 50 words that recurs holds a common stretch.
+STRETCH, APART = 40, 11
 
 
 def paragraphs(text: str | None) -> list[str]:
@@ -71,33 +82,147 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     return sketched.select("id", "paragraph", "set").join(of_set, "set").where((F.col("id") != F.col("first.id")) | (F.col("paragraph") != F.col("first.paragraph"))).select("id", "paragraph", F.col("first.id").alias("component_id"))
 
 
+def stretch_starts(words: np.ndarray, sizes: np.ndarray, stretch: int = STRETCH, apart: int = APART) -> np.ndarray:
+    """Where stretches begin in the words of all texts: at the least shingle of every run of apart possible places."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    n = len(words) - stretch + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = words[:n] * minhash._W[0]
+    for j in range(1, minhash.WORDS):
+        h = h + words[j : j + n] * minhash._W[j]
+    h = (h * minhash._M) >> np.uint64(32)
+    places = sizes - stretch + 1  # possible starts of each text
+    out = []
+    for at, m in zip(begins[(places > 0) & (places <= apart)].tolist(), places[(places > 0) & (places <= apart)].tolist()):
+        out.append(np.array([at + int(h[at : at + m].argmin())]))
+    if n >= apart:
+        runs = np.zeros(len(words) + 1, np.int64)  # marks the places from which a run of apart places fits into its text
+        long = places > apart
+        np.add.at(runs, begins[long], 1)
+        np.add.at(runs, begins[long] + places[long] - apart + 1, -1)
+        first = np.flatnonzero(np.cumsum(runs))
+        least, found = h[first], first
+        for j in range(1, apart):
+            other = h[first + j]
+            less = other < least
+            least, found = np.where(less, other, least), np.where(less, first + j, found)
+        out.append(found)
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+
+
+def stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH, apart: int = APART) -> DataFrame:
+    """(id, a, b, component_id): words a to b - 1 of the document, counted from 0, recur from the document component_id.
+
+    Of equal stretches those in the document of smallest id stay, all of them: what recurs only inside one document is left.
+    Stretches are equal if their words are, by 96 bits of two hashes; letter case and white space do not count.
+    """
+
+    def run(batches):
+        shingler = minhash.Shingler()
+        for batch in batches:
+            for x, y in slices(batch.num_rows, 256):
+                words, sizes = shingler.words([t or "" for t in batch.column(1).slice(x, y - x).to_pylist()])
+                with np.errstate(over="ignore"):
+                    at = stretch_starts(words, sizes, stretch, apart)
+                    key, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                    for j in range(stretch):
+                        w = words[at + j]
+                        key = (key ^ w) * minhash._M
+                        key ^= key >> np.uint64(31)
+                        check = check * minhash._W[0] + (w ^ (w >> np.uint64(29)))
+                ends = np.cumsum(sizes)
+                text = np.searchsorted(ends, at, "right")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(x + text)), pa.array((at - (ends - sizes)[text]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                    names=["id", "start", "key", "check"],
+                )
+
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = stored(docs.mapInArrow(run, "id long, start int, key long, check int"), "stretches")
+    firsts = found.groupBy("key").agg(F.min(F.struct("id", "check")).alias("first"), F.max("id").alias("last")).where("last > first.id").select("key", "first")
+    return found.join(firsts, "key").where("check = first.check and id <> first.id").select("id", F.col("start").alias("a"), (F.col("start") + stretch).alias("b"), F.col("first.id").alias("component_id"))
+
+
+_WORD = re.compile(r"\S+")
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def removed_spans(text: str, lines: list[tuple[int, int]], words: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """The spans of characters to remove, and the documents that hold what they hold.
+
+    lines are (line, document), words (first word, end, document). Words inside removed lines go with these; others go
+    with the blanks after them, up to a line end.
+    """
+    spans, held, at = [], set(), 0
+    if lines:
+        marks = dict(lines)
+        held.update(marks.values())
+        for k, p in enumerate(paragraphs(text)):
+            if k in marks:
+                spans.append((at, at + len(p)))
+            at += len(p)
+    if words:
+        places = [m.span() for m in _WORD.finditer(text)]
+        whole = _joined(spans)
+        begins = [x for x, _ in whole]
+        loose = []
+        for a, b, c in words:
+            if a < b <= len(places):
+                k = bisect.bisect_right(begins, places[a][0]) - 1
+                if k < 0 or whole[k][1] < places[b - 1][1]:
+                    loose.append((a, b))
+                    held.add(c)
+        for a, b in _joined(loose):
+            last, after = places[b - 1][1], places[b][0] if b < len(places) else len(text)
+            spans.append((places[a][0], last if "\n" in text[last:after] else after))
+    return _joined(spans), sorted(held)
+
+
 def remove_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = minhash.THRESHOLD, least_words: int = LEAST_WORDS, digests: bool = False) -> DataFrame:
     """One row per row of df: id_col, n_bytes, n_removed, n_spans, component_ids, and kept (the text left) or its SHA-256.
 
-    n_removed counts bytes, n_spans the runs of neighbouring removed paragraphs, component_ids names the documents that keep
-    the first copies. A null text is empty; a document of which all is removed keeps an empty text. Rows of one id
-    lose the same paragraphs.
+    n_removed counts bytes, n_spans the maximal removed runs, component_ids names the documents that hold what was
+    removed (none: an empty list). A null text is empty; a document of which all is removed keeps an empty text. Rows of one id lose the same
+    lines and words. A document without an id loses nothing.
     """
     kind = dict(df.dtypes)[id_col]
-    gone = removals(df, id_col, text_col, threshold, least_words).groupBy("id").agg(F.collect_list("paragraph").alias("gone"), F.array_sort(F.collect_set("component_id")).alias("component_ids"))
+    lines = removals(df, id_col, text_col, threshold, least_words).select("id", F.struct("paragraph", "component_id").alias("line"), F.lit(None).cast("struct<a:int,b:int,component_id:bigint>").alias("words"))
+    inner = stretches(df, id_col, text_col).select("id", F.lit(None).cast("struct<paragraph:int,component_id:bigint>").alias("line"), F.struct("a", "b", "component_id").alias("words"))
+    gone = lines.union(inner).groupBy("id").agg(F.collect_list("line").alias("lines"), F.collect_list("words").alias("words"))
     docs = df.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     last = "kept_sha256" if digests else "kept"
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                marks = set(marks or ())
-                parts = paragraphs(text) if marks else [text or ""]
-                kept = "".join([p for k, p in enumerate(parts) if k not in marks]).encode("utf-8", "surrogatepass")
-                size = len((text or "").encode("utf-8", "surrogatepass"))
-                spans = sum(1 for k in marks if k - 1 not in marks)
-                rows.append((size, size - len(kept), spans, hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "surrogatepass")))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), batch.column(3), pa.array(columns[3], pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "component_ids", last])
+            for x, y in slices(batch.num_rows, 256):
+                part, rows = batch.slice(x, y - x), []
+                for text, marks, words in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+                    text = text or ""
+                    spans, held = removed_spans(text, [tuple(m.values()) for m in marks or ()], [tuple(w.values()) for w in words or ()])
+                    edges = [0, *(e for s in spans for e in s), len(text)]
+                    kept = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])).encode("utf-8", "surrogatepass")
+                    size = len(text.encode("utf-8", "surrogatepass"))
+                    rows.append((size, size - len(kept), len(spans), held, hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "surrogatepass")))
+                columns = list(zip(*rows)) or [(), (), (), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.string())],
+                    names=[id_col, "n_bytes", "n_removed", "n_spans", "component_ids", last],
+                )
 
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, component_ids array<long>, {last} string"
-    return docs.join(gone, "id", "left").select("own", "text", "gone", "component_ids").mapInArrow(run, schema)
+    return docs.join(gone, "id", "left").select("own", "text", "lines", "words").mapInArrow(run, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,41 @@ def test_paragraphs(spark):
     assert substring_dedup.remove_paragraphs(empty(spark)).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(14)
+    passages = [words(rng, n) for n in (50, 55, 90)] + [words(rng, 30) + "\n" + words(rng, 25)]
+    texts = ODD + [f"{words(rng, 70 + i)} {passages[i % 4]} {words(rng, 90 - i)}" for i in range(24)] + [words(rng, 200) for _ in range(5)]
+    texts += [words(rng, 30) + " " + passages[2] + " " + words(rng, 50) + " " + passages[2]]
+    got = {r.doc_id: r for r in substring_dedup.remove_paragraphs(frame(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    first = len(ODD)
+    for i in range(first, first + 24):
+        r, own = got[i], passages[(i - first) % 4]
+        if i < first + 4:
+            assert r.n_removed == 0
+        else:
+            left = texts[i].split()
+            # which stretches begin near the edge of a passage depends on the words before it, so a later document may be first
+            assert r.component_ids[0] == first + (i - first) % 4 and all(c < i and (c - i) % 4 == 0 for c in r.component_ids)
+            assert 0.6 * len(own) <= r.n_removed <= len(own) + 1 and r.n_spans >= 1
+            assert r.kept.split()[:70] == left[:70] and r.kept.split()[-60:] == left[-60:]
+    assert all(got[i].n_removed == 0 for i in range(first + 24, first + 29)) and got[first + 29].n_spans == 2
+
+
+def test_stretches_cover_passages():
+    rng = np.random.default_rng(15)
+    common = rng.integers(0, 1 << 62, 50).astype(np.uint64)
+    for _ in range(200):
+        a, b = (np.concatenate((rng.integers(0, 1 << 62, rng.integers(0, 60)).astype(np.uint64), common, rng.integers(0, 1 << 62, rng.integers(0, 60)).astype(np.uint64))) for _ in range(2))
+        words_, sizes = np.concatenate((a, b)), np.array([len(a), 0, len(b)])
+        with np.errstate(over="ignore"):
+            at = substring_dedup.stretch_starts(words_, sizes)
+        assert all(s + 40 <= len(a) or s >= len(a) and s + 40 <= len(a) + len(b) for s in at.tolist())
+        kinds = [{words_[s : s + 40].tobytes() for s in at.tolist() if (s < len(a)) == first} for first in (True, False)]
+        assert kinds[0] & kinds[1]
+    assert len(substring_dedup.stretch_starts(np.empty(0, np.uint64), np.array([0]))) == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
