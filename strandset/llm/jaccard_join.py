@@ -26,7 +26,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shingler = minhash.Shingler()
         for batch in batches:
             for a, b in slices(batch.num_rows, 512):
-                some, sets, keys = minhash.sketch(shingler, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], bands, rows)
+                some, sets, keys = minhash.sketch(shingler.sets([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]), bands, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + a)), pa.array(sets, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "set", "bands"])
 
     sketched = stored(docs.mapInArrow(run, "id long, set long, bands array<long>"), "sketches")

@@ -56,11 +56,10 @@ class Shingler:
     def __init__(self, cache: int = 200_000):
         self.cache = TwoGenerationCache(cache)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The 64-bit hashes of all words, text after text, and each text's number of words; cut at white space, in small letters."""
+    def words(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit hashes of all words, text after text, and each text's number of words."""
         import xxhash
 
-        cut = [t.lower().split() for t in texts]
         young, digest = self.cache.young, xxhash.xxh3_64_intdigest
         for w in self.cache.missing(set().union(*cut)):
             young[w] = digest(w)
@@ -70,17 +69,21 @@ class Shingler:
         return words, sizes
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """The sorted 32-bit shingle hashes of each text."""
-        words, sizes = self.words(texts)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        out = [np.empty(0, np.uint32)] * len(texts)
+        """The sorted 32-bit shingle hashes of each text; words are cut at white space and compared in small letters."""
+        return self.sets_of(*self.words([t.lower().split() for t in texts]))
+
+    @staticmethod
+    def sets_of(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The sorted 32-bit shingle hashes of each text, from the hashes of its words."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        out = [np.empty(0, np.uint32)] * len(sizes)
         with np.errstate(over="ignore"):
             n = len(words) - WORDS + 1
             if n > 0:
                 whole = owner[:n] == owner[WORDS - 1 :]
                 h = sum(words[j : j + n] * _W[j] for j in range(WORDS))[whole] * _M >> np.uint64(32)
                 keys = np.unique(owner[:n][whole].astype(np.uint64) << np.uint64(32) | h)
-                place = np.searchsorted(keys >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64))
+                place = np.searchsorted(keys >> np.uint64(32), np.arange(len(sizes) + 1, dtype=np.uint64))
                 low = keys.astype(np.uint32)
                 out = [low[a:b] for a, b in zip(place[:-1].tolist(), place[1:].tolist())]
             starts = np.cumsum(sizes) - sizes
@@ -116,9 +119,8 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def sketch(shingler: Shingler, texts: list[str], bands: int, rows: int) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """(which texts have a set, the keys of the sets, their band keys)."""
-    sets = shingler.sets(texts)
+def sketch(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """(which sets are not empty, their keys, their band keys)."""
     some = np.flatnonzero([len(s) > 0 for s in sets])
     if not len(some):
         return some, [], np.empty((0, bands), np.int64)

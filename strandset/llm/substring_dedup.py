@@ -33,32 +33,63 @@ def paragraphs(text: str | None) -> list[str]:
     return [p + "\n" for p in parts[:-1]] + parts[-1:] * bool(parts[-1])
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = minhash.THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, paragraph, component_id): the paragraphs to remove, numbered from 0 in their document.
-
-    Paragraphs link if the Jaccard similarity of their five-word shingles is threshold or more; of each component the
-    first paragraph (smallest document id, then number) stays. component_id is the document id of the one that stays.
-    """
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = minhash.THRESHOLD, least_words: int = LEAST_WORDS, stretch: int = STRETCH, apart: int = APART) -> DataFrame:
+    """One pass over the texts, words hashed once: a row for each line of least_words words or more, with its set and bands,
+    and a row for each text with a stretch, with the starts (in words) and keys of its stretches."""
     bands, rows = minhash.tune_bands(threshold, MISS)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         shingler = minhash.Shingler()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b in slices(batch.num_rows, 256):
-                owner, number, texts = [], [], []
-                for i, text in zip(ids[a:b], batch.column(1).slice(a, b - a).to_pylist()):
-                    for k, p in enumerate(paragraphs(text)):
-                        if p.count(" ") + 1 >= least_words and len(p.split()) >= least_words:
-                            owner.append(i)
-                            number.append(k)
-                            texts.append(p)
-                if texts:
-                    some, sets, keys = minhash.sketch(shingler, texts, bands, rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([owner[k] for k in some], pa.int64()), pa.array([number[k] for k in some], pa.int32()), pa.array(sets, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "paragraph", "set", "bands"])
-
-    sketched = stored(docs.mapInArrow(run, "id long, paragraph int, set long, bands array<long>"), "paragraphs")
+            for x, y in slices(batch.num_rows, 256):
+                ids, owner, number, cut = batch.column(0).slice(x, y - x), [], [], []
+                for i, text in enumerate(batch.column(1).slice(x, y - x).to_pylist()):
+                    for k, p in enumerate((text or "").lower().split("\n")):
+                        owner.append(i)
+                        number.append(k)
+                        cut.append(p.split())
+                words, sizes = shingler.words(cut)
+                owner, number = np.array(owner), np.array(number, np.int32)
+                long = sizes >= least_words
+                some, sets, keys = minhash.sketch(shingler.sets_of(words[np.repeat(long, sizes)], sizes[long]), bands, rows)
+                lines = np.flatnonzero(long)[some]
+                of_text = np.bincount(owner, sizes, len(ids)).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    at = stretch_starts(words, of_text, stretch, apart)
+                    key = np.zeros(len(at), np.uint64)
+                    for j in range(stretch):
+                        key = (key ^ words[at + j]) * minhash._M
+                        key ^= key >> np.uint64(31)
+                ends = np.cumsum(of_text)
+                text = np.searchsorted(ends, at, "right")
+                texts, counts = np.unique(text, return_counts=True)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array((at - (ends - of_text)[text]).astype(np.int32)), pa.array(key.view(np.int64)))]
+                n, m = len(lines), len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(np.concatenate((owner[lines], texts)).astype(np.int64))),
+                        pa.concat_arrays([pa.array(number[lines]), pa.nulls(m, pa.int32())]),
+                        pa.concat_arrays([pa.array(sets, pa.int64()), pa.nulls(m, pa.int64())]),
+                        pa.concat_arrays([pa.array(list(keys), pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
+                        pa.concat_arrays([pa.nulls(n, lists[0].type), lists[0]]),
+                        pa.concat_arrays([pa.nulls(n, lists[1].type), lists[1]]),
+                    ],
+                    names=["id", "paragraph", "set", "bands", "starts", "keys"],
+                )
+
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return stored(docs.mapInArrow(run, "id long, paragraph int, set long, bands array<long>, starts array<int>, keys array<long>"), "paragraphs")
+
+
+def removals(df: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = minhash.THRESHOLD) -> DataFrame:
+    """(id, paragraph, component_id): the lines to remove, numbered from 0 in their document; sketched is that of df.
+
+    Lines link if the Jaccard similarity of their five-word shingles is threshold or more; of each component the
+    first line (smallest document id, then number) stays. component_id is the document id of the one that stays.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketched = sketched.where("set is not null").select("id", "paragraph", "set", "bands")
     classes = stored(sketched.groupBy("set").agg(F.min(F.struct("id", "paragraph")).alias("rep"), F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands")), "classes")
     clusters = minhash.candidate_clusters(classes)
     wanted = classes.select("set", "rep", "n").join(clusters, "set").groupBy(F.col("rep.id").alias("id")).agg(F.collect_list(F.struct(F.col("rep.paragraph").alias("paragraph"), "set", "n", "cluster")).alias("at"))
@@ -91,58 +122,38 @@ def stretch_starts(words: np.ndarray, sizes: np.ndarray, stretch: int = STRETCH,
         return np.empty(0, np.int64)
     h = words[:n] * minhash._W[0]
     for j in range(1, minhash.WORDS):
-        h = h + words[j : j + n] * minhash._W[j]
-    h = (h * minhash._M) >> np.uint64(32)
+        h += words[j : j + n] * minhash._W[j]
+    h *= minhash._M
+    h &= np.uint64(0xFFFFFFFF00000000)
+    h |= np.arange(n, dtype=np.uint64)  # value and place in one number: of equal values the first place is the least
     places = sizes - stretch + 1  # possible starts of each text
-    out = []
-    for at, m in zip(begins[(places > 0) & (places <= apart)].tolist(), places[(places > 0) & (places <= apart)].tolist()):
-        out.append(np.array([at + int(h[at : at + m].argmin())]))
+    few = (places > 0) & (places <= apart)
+    out = [h[at : at + m].min()[None] for at, m in zip(begins[few].tolist(), places[few].tolist())]
     if n >= apart:
-        runs = np.zeros(len(words) + 1, np.int64)  # marks the places from which a run of apart places fits into its text
+        marks = np.zeros(len(words) + 1, np.int64)  # the places from which a run of apart places fits into its text
         long = places > apart
-        np.add.at(runs, begins[long], 1)
-        np.add.at(runs, begins[long] + places[long] - apart + 1, -1)
-        first = np.flatnonzero(np.cumsum(runs))
-        least, found = h[first], first
-        for j in range(1, apart):
-            other = h[first + j]
-            less = other < least
-            least, found = np.where(less, other, least), np.where(less, first + j, found)
-        out.append(found)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
-
-
-def stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH, apart: int = APART) -> DataFrame:
+        np.add.at(marks, begins[long], 1)
+        np.add.at(marks, begins[long] + places[long] - apart + 1, -1)
+        width = 1
+        while 2 * width <= apart:
+            h = np.minimum(h[:-width], h[width:])
+            width *= 2
+        if width < apart:
+            h = np.minimum(h[: len(h) - (apart - width)], h[apart - width :])
+        out.append(h[np.cumsum(marks)[: len(h)] > 0])
+    return np.unique(np.concatenate(out) & np.uint64(0xFFFFFFFF)).astype(np.int64) if out else np.empty(0, np.int64)
+
+
+def stretches(sketched: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(id, a, b, component_id): words a to b - 1 of the document, counted from 0, recur from the document component_id.
 
     Of equal stretches those in the document of smallest id stay, all of them: what recurs only inside one document is left.
-    Stretches are equal if their words are, by 96 bits of two hashes; letter case and white space do not count.
+    Stretches are equal if the 64-bit hashes of their words are; letter case and white space do not count. At 100 TB
+    that takes about one stretch in ten million for a copy by mistake.
     """
-
-    def run(batches):
-        shingler = minhash.Shingler()
-        for batch in batches:
-            for x, y in slices(batch.num_rows, 256):
-                words, sizes = shingler.words([t or "" for t in batch.column(1).slice(x, y - x).to_pylist()])
-                with np.errstate(over="ignore"):
-                    at = stretch_starts(words, sizes, stretch, apart)
-                    key, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-                    for j in range(stretch):
-                        w = words[at + j]
-                        key = (key ^ w) * minhash._M
-                        key ^= key >> np.uint64(31)
-                        check = check * minhash._W[0] + (w ^ (w >> np.uint64(29)))
-                ends = np.cumsum(sizes)
-                text = np.searchsorted(ends, at, "right")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(x + text)), pa.array((at - (ends - sizes)[text]).astype(np.int32)), pa.array(key.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                    names=["id", "start", "key", "check"],
-                )
-
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stored(docs.mapInArrow(run, "id long, start int, key long, check int"), "stretches")
-    firsts = found.groupBy("key").agg(F.min(F.struct("id", "check")).alias("first"), F.max("id").alias("last")).where("last > first.id").select("key", "first")
-    return found.join(firsts, "key").where("check = first.check and id <> first.id").select("id", F.col("start").alias("a"), (F.col("start") + stretch).alias("b"), F.col("first.id").alias("component_id"))
+    found = sketched.where("keys is not null").select("id", F.explode(F.arrays_zip("starts", "keys")).alias("s")).select("id", F.col("s.starts").alias("start"), F.col("s.keys").alias("key"))
+    firsts = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("key", "first")
+    return found.join(firsts, "key").where("id <> first").select("id", F.col("start").alias("a"), (F.col("start") + stretch).alias("b"), F.col("first").alias("component_id"))
 
 
 _WORD = re.compile(r"\S+")
@@ -198,8 +209,9 @@ def remove_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines and words. A document without an id loses nothing.
     """
     kind = dict(df.dtypes)[id_col]
-    lines = removals(df, id_col, text_col, threshold, least_words).select("id", F.struct("paragraph", "component_id").alias("line"), F.lit(None).cast("struct<a:int,b:int,component_id:bigint>").alias("words"))
-    inner = stretches(df, id_col, text_col).select("id", F.lit(None).cast("struct<paragraph:int,component_id:bigint>").alias("line"), F.struct("a", "b", "component_id").alias("words"))
+    sketched = sketches(df, id_col, text_col, threshold, least_words)
+    lines = removals(df, sketched, id_col, text_col, threshold).select("id", F.struct("paragraph", "component_id").alias("line"), F.lit(None).cast("struct<a:int,b:int,component_id:bigint>").alias("words"))
+    inner = stretches(sketched).select("id", F.lit(None).cast("struct<paragraph:int,component_id:bigint>").alias("line"), F.struct("a", "b", "component_id").alias("words"))
     gone = lines.union(inner).groupBy("id").agg(F.collect_list("line").alias("lines"), F.collect_list("words").alias("words"))
     docs = df.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     last = "kept_sha256" if digests else "kept"
