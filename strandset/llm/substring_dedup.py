@@ -90,8 +90,9 @@ def removals(df: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_co
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = sketched.where("set is not null").select("id", "paragraph", "set", "bands")
-    classes = stored(sketched.groupBy("set").agg(F.min(F.struct("id", "paragraph")).alias("rep"), F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands")), "classes")
-    clusters = minhash.candidate_clusters(classes)
+    by_set = sketched.groupBy("set")
+    classes = stored(by_set.agg(F.min(F.struct("id", "paragraph")).alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    clusters = minhash.candidate_clusters(by_set.agg(F.min("bands").alias("bands")))  # its shuffle serves both uses inside
     wanted = classes.select("set", "rep", "n").join(clusters, "set").groupBy(F.col("rep.id").alias("id")).agg(F.collect_list(F.struct(F.col("rep.paragraph").alias("paragraph"), "set", "n", "cluster")).alias("at"))
 
     def cut(batches):
@@ -107,9 +108,10 @@ def removals(df: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.join(wanted, "id").select("text", "at").mapInArrow(cut, "set long, n long, cluster long, text string")
     links = stored(minhash.links_within(texts, clusters, threshold), "links")
     groups = minhash.set_components(links)
-    named = classes.select("set", "rep").join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
-    firsts = named.groupBy("group").agg(F.min("rep").alias("first"))
-    of_set = named.join(firsts, "group").select("set", "first")
+    linked = classes.select("set", "rep").join(groups, "set")
+    firsts = linked.groupBy("group").agg(F.min("rep").alias("first"))
+    of_linked = linked.join(firsts, "group").select("set", "first")
+    of_set = classes.join(of_linked, "set", "left").where("n > 1 or first is not null").select("set", F.coalesce("first", "rep").alias("first"))
     return sketched.select("id", "paragraph", "set").join(of_set, "set").where((F.col("id") != F.col("first.id")) | (F.col("paragraph") != F.col("first.paragraph"))).select("id", "paragraph", F.col("first.id").alias("component_id"))
 
 
