@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import minhash
 from .common import slices, stored, table
@@ -203,26 +204,27 @@ def removed_spans(text: str, lines: list[tuple[int, int]], words: list[tuple[int
     return _joined(spans), sorted(held)
 
 
-def remove_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = minhash.THRESHOLD, least_words: int = LEAST_WORDS, digests: bool = False) -> DataFrame:
-    """One row per row of df: id_col, n_bytes, n_removed, n_spans, component_ids, and kept (the text left) or its SHA-256.
+def remove_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = minhash.THRESHOLD, least_words: int = LEAST_WORDS, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: id_col, the columns of keep, n_bytes, n_removed, n_spans, component_ids, and kept (the text left) or its SHA-256.
 
     n_removed counts bytes, n_spans the maximal removed runs, component_ids names the documents that hold what was
     removed (none: an empty list). A null text is empty; a document of which all is removed keeps an empty text. Rows of one id lose the same
     lines and words. A document without an id loses nothing.
     """
-    kind = dict(df.dtypes)[id_col]
+    carried = df.select(id_col, *keep).schema.fields
     sketched = sketches(df, id_col, text_col, threshold, least_words)
     lines = removals(df, sketched, id_col, text_col, threshold).select("id", F.struct("paragraph", "component_id").alias("line"), F.lit(None).cast("struct<a:int,b:int,component_id:bigint>").alias("words"))
     inner = stretches(sketched).select("id", F.lit(None).cast("struct<paragraph:int,component_id:bigint>").alias("line"), F.struct("a", "b", "component_id").alias("words"))
     gone = lines.union(inner).groupBy("id").agg(F.collect_list("line").alias("lines"), F.collect_list("words").alias("words"))
-    docs = df.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = [f"own{k}" for k in range(len(carried))]
+    docs = df.select(*(F.col(f.name).alias(o) for f, o in zip(carried, own)), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     last = "kept_sha256" if digests else "kept"
 
     def run(batches):
         for batch in batches:
             for x, y in slices(batch.num_rows, 256):
                 part, rows = batch.slice(x, y - x), []
-                for text, marks, words in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+                for text, marks, words in zip(*(part.column(len(own) + k).to_pylist() for k in range(3))):
                     text = text or ""
                     spans, held = removed_spans(text, [tuple(m.values()) for m in marks or ()], [tuple(w.values()) for w in words or ()])
                     edges = [0, *(e for s in spans for e in s), len(text)]
@@ -231,12 +233,14 @@ def remove_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rows.append((size, size - len(kept), len(spans), held, hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "surrogatepass")))
                 columns = list(zip(*rows)) or [(), (), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.string())],
-                    names=[id_col, "n_bytes", "n_removed", "n_spans", "component_ids", last],
+                    [*part.columns[: len(own)], *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.string())],
+                    names=[id_col, *keep, "n_bytes", "n_removed", "n_spans", "component_ids", last],
                 )
 
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, component_ids array<long>, {last} string"
-    return docs.join(gone, "id", "left").select("own", "text", "lines", "words").mapInArrow(run, schema)
+    schema = StructType(list(carried))
+    for name, of in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("component_ids", ArrayType(LongType())), (last, "string")):
+        schema = schema.add(name, of)
+    return docs.join(gone, "id", "left").select(*own, "text", "lines", "words").mapInArrow(run, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +249,5 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated paragraphs go but for the first; documents of which nothing is left go."""
-    kept = remove_paragraphs(docs).select("doc_id", F.col("kept").alias("text"), "n_removed")
-    rest = docs.drop("text", "n_chars").join(kept, "doc_id").where("n_removed = 0 or trim(text) <> ''")
-    return rest.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    kept = remove_paragraphs(docs, keep=("lang", "source")).withColumnRenamed("kept", "text").where("n_removed = 0 or trim(text) <> ''")
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

@@ -296,6 +296,13 @@ def test_passages_inside_lines(spark):
     assert all(got[i].n_removed == 0 for i in range(first + 24, first + 29)) and got[first + 29].n_spans == 2
 
 
+def test_paragraph_stage_keeps_rows(spark):
+    rows = [(1, "one text", "xx", "s", 8), (1, "one text", "xx", "s", 8), (2, None, None, None, None), (None, "no id", "xx", None, 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = substring_dedup.stage_substring(spark, docs, "").collect()
+    assert kept and sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [*rows[:2], (2, "", None, None, 0), rows[3]]))
+
+
 def test_stretches_cover_passages():
     rng = np.random.default_rng(15)
     common = rng.integers(0, 1 << 62, 50).astype(np.uint64)
