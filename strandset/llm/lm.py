@@ -1,15 +1,17 @@
 """A hashed maximum-entropy language model with class-factored softmax, beside an add-one unigram score.
 
-Outcomes are OTHER, END and the most frequent training words, CLASSES * CLASSES in all, in classes by frequency:
-p(word | context) = p(class | context) * p(outcome | class, context), and a word that is no outcome has OTHER's
-probability times its add-one share among such words. The context's features are the word before, the one before
-that (a skip), both (a trigram) and a constant, hashed into tables of weights.
+Outcomes are the end and every training word, numbered by frequency (END and rarer and rarer words; OTHER is any word
+that training lacks). They are the leaves of a tree of CLASSES children a node, frequent words near the root, and
+p(word | context) is the product of p(child | context, node) on the way down. A node starts from the shares of the
+counts below its children; to these the features of the context add: the word before, the one before that (a skip),
+and both (a trigram), by their identities hashed into tables of weights that grow with the square root of the tokens.
+OTHER has the Good-Turing share of words seen once.
 
 Counts: every task numbers the words of its block of documents and writes the numbered documents and the block's word
-list. Word lists, not texts, meet in the global count, and go back to their block with counts attached.
-Training: contexts and outcomes are outcome numbers, so the whole training text becomes counts of at most 2^27 number
-triples, summed by Spark. Each round the tasks compute gradients and curvature over their share of the triples, Spark
-sums them by table row, and the driver takes the step. Scoring evaluates each distinct triple of a batch once.
+list. Word lists, not texts, meet in the global count, and go back to their block with counts and outcomes attached.
+Training: each round the tasks compute gradients and curvature over their share of the tokens, Spark sums them by table
+row, and the driver takes the step. Every training token counts in as many rounds as any other: in all of them where
+there are few tokens, in one where there are many. Scoring evaluates each distinct triple of a batch once.
 """
 
 from __future__ import annotations
@@ -23,14 +25,18 @@ from pyspark.sql import functions as F
 from .common import id_remainder, slices, stored, table
 
 CLASSES = 16
-OUTCOMES = CLASSES * CLASSES
-OTHER, END, BEGIN = 0, 1, OUTCOMES
+OUTCOMES = CLASSES * CLASSES  # no model has fewer places for outcomes
+OTHER, END = 0, 1
 END_WORD = b" "  # no word contains a blank
-FEATURES = 4
-CLASS_BITS, WORD_BITS = 13, 14
+CLASS_BITS, WORD_BITS = 13, 14  # of the smallest tables
+#: Rows of the lower table for each root of the number of tokens.
+ROWS = 8
 ROUNDS, STEP, PRIOR, FARTHEST = 8, 0.4, 2.0, 0.6
+#: Where a round has more tokens than this, rounds share the tokens out.
+ROUND_TOKENS = 250_000
 BLOCK_TOKENS = 3_000_000
-MASK = 0x1FF
+#: Children of the root by depth of the words below them; the last child holds all that remain.
+GROUPS = ((8, 2), (4, 3), (2, 4), (1, 5))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,55 +92,21 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("id", "held_out", "text").mapInArrow(run, schema)
 
 
-def triples(outcomes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Each token's outcome with the two before it in its document, as one number."""
-    starts = np.cumsum(sizes) - sizes
-    before = np.concatenate(([BEGIN], outcomes[:-1]))
-    before[starts] = BEGIN
-    skip = np.concatenate(([BEGIN], before[:-1]))
-    skip[starts] = BEGIN
-    return (skip << 18) | (before << 9) | outcomes
-
-
-def count_triples(docs: DataFrame, outcome: dict[bytes, int]) -> DataFrame:
-    """(triple, n) over the training documents of (held_out, text)."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def context_bits(used: int) -> tuple[int, int]:
+    """Bits of an outcome and of a context word in a packed triple; context words are all distinct up to 2^21 words."""
+    bits = max(9, int(used).bit_length())
+    return bits, min(bits, (63 - bits) // 2)
 
-        def merged():
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-        get = outcome.get
-        for batch in batches:
-            for a, b in slices(batch.num_rows, 1024):
-                texts = batch.column(0).slice(a, b - a).to_pylist()
-                rows = [[get(w, OTHER) for w in words_of(t)] + [END] for t in texts]
-                flat = np.fromiter((x for r in rows for x in r), np.int64, sum(map(len, rows)))
-                codes, n = np.unique(triples(flat, np.array(list(map(len, rows)))), return_counts=True)
-                held.append((codes, n))
-                if sum(len(c) for c, _ in held) > 3_000_000:
-                    held = [merged()]
-                    if len(held[0][0]) > 1_500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["triple", "n"])
-                        held = []
-        if held:
-            codes, n = merged()
-            for a, b in slices(len(codes), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[a:b]), pa.array(n[a:b])], names=["triple", "n"])
-
-    return docs.where("not held_out").select("text").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
-
-
-def places(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table, and of the outcome table given the class of the outcome, for each feature: (FEATURES, n)."""
-    skip, before, outcome = code >> 18, (code >> 9) & MASK, code & MASK
-    own = np.stack([np.zeros_like(code), 1 + before, 1024 + skip, 2048 + (skip << 9) + before]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        of_class = (own * _MIX) >> np.uint64(64 - CLASS_BITS)
-        of_word = ((own * np.uint64(31) + (outcome // CLASSES).astype(np.uint64) + np.uint64(7)) * _MIX) >> np.uint64(64 - WORD_BITS)
-    return of_class.astype(np.int64), of_word.astype(np.int64)
+def triples(outcomes: np.ndarray, sizes: np.ndarray, used: int) -> np.ndarray:
+    """Each token's outcome with the two before it in its document, as one number; used stands for the beginning."""
+    bits, own = context_bits(used)
+    starts = np.cumsum(sizes) - sizes
+    before = np.concatenate(([used], outcomes[:-1])) & ((1 << own) - 1)
+    before[starts] = used & ((1 << own) - 1)
+    skip = np.concatenate(([used], before[:-1]))
+    skip[starts] = used & ((1 << own) - 1)
+    return (skip << (own + bits)) | (before << bits) | outcomes
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -143,67 +115,165 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 class MaxEnt:
-    def __init__(self, used: int):
-        self.classes = np.zeros((1 << CLASS_BITS, CLASSES))
-        self.words = np.zeros((1 << WORD_BITS, CLASSES))
-        usable = (np.arange(OUTCOMES) < used).reshape(CLASSES, CLASSES)
-        self.closed = np.where(usable, 0.0, -1e9)  # outcomes without a word
-        self.closed_class = np.where(usable.any(1), 0.0, -1e9)
-
-    def shares(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        of_class, of_word = places(code)
-        return of_class, of_word, softmax(self.classes[of_class].sum(0) + self.closed_class), softmax(self.words[of_word].sum(0) + self.closed[(code & MASK) // CLASSES])
+    """used outcomes; counts and times, falling, tell the training counts of outcomes from END on (times outcomes with each)."""
+
+    def __init__(self, used: int, counts=None, times=None, class_bits: int = CLASS_BITS, word_bits: int = WORD_BITS):
+        self.used, self.counts, self.times = used, np.array([1] if counts is None else counts), np.array([used - 1] if times is None else times)
+        self.class_bits, self.word_bits = class_bits, word_bits
+        self.classes = np.zeros((1 << class_bits, CLASSES), np.float32)
+        self.words = np.zeros((1 << word_bits, CLASSES), np.float32)
+        self._bias = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_bias": None}  # tasks build it from the counts
+
+    def groups(self):
+        """(first outcome, first child of the root, outcomes a child, depth)"""
+        first = child = 0
+        for children, depth in GROUPS:
+            yield first, child, CLASSES ** (depth - 1), depth
+            first, child = first + children * CLASSES ** (depth - 1), child + children
+        depth = 6
+        while first + CLASSES ** (depth - 1) < self.used:
+            depth += 1
+        yield first, child, CLASSES ** (depth - 1), depth
+
+    def bias(self) -> tuple[np.ndarray, list[list[int]]]:
+        """Logs of the counts below the children of all nodes, and for each group where the nodes of its levels begin."""
+        if self._bias is None:
+            leaf = np.zeros(self.used)
+            leaf[END:] = np.repeat(self.counts, self.times)
+            rows, at, root, begins = [], 1, np.zeros(CLASSES), []
+            groups = list(self.groups())
+            for k, (first, child, width, depth) in enumerate(groups):
+                own = leaf[first : groups[k + 1][0] if k + 1 < len(groups) else self.used]
+                begin = [0] * depth
+                for level in range(depth - 1, 0, -1):  # from the leaves up
+                    below = np.append(own, np.zeros(-len(own) % CLASSES)).reshape(-1, CLASSES)
+                    own, begin[level] = below.sum(1), at
+                    if not len(below):
+                        below = np.zeros((1, CLASSES))
+                    rows.append(below)
+                    at += len(below)
+                root[child : child + len(own)] = own
+                begins.append(begin)
+            mass = np.concatenate((root[None], *rows))
+            self._bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -1e9).astype(np.float32), begins
+        return self._bias
+
+    def steps(self, code: np.ndarray):
+        """Level by level down the tree: which codes, their rows in the table of that level, shares of the children, the right child."""
+        bits, own = context_bits(self.used)
+        outcome, before, skip = code & ((1 << bits) - 1), (code >> bits) & ((1 << own) - 1), code >> (bits + own)
+        table, begins = self.bias()
+        with np.errstate(over="ignore"):
+            b, s = before.astype(np.uint64) * np.uint64(2) + np.uint64(1), skip.astype(np.uint64) * np.uint64(2) + np.uint64(2)
+            features = np.stack([b * _MIX, s * _MIX, (s * _MIX ^ b) * np.uint64(0xC2B2AE3D27D4EB4F) + s])
+            features ^= features >> np.uint64(29)
+        groups = list(self.groups())
+        group = np.searchsorted([g[0] for g in groups], outcome, "right") - 1
+        first, root, width, depth = (np.array(x)[group] for x in zip(*groups))
+        inner = outcome - first
+        for level in range(max(g[3] for g in groups)):
+            at = np.flatnonzero(depth > level) if level > 1 else np.arange(len(code))
+            if not len(at):
+                break
+            if level == 0:
+                node, child, weights, size = np.zeros(len(at), np.int64), root + inner // width, self.classes, self.class_bits
+            else:
+                below = width[at] // CLASSES**level  # leaves below a child
+                begin = np.array([x[level] if level < len(x) else 0 for x in begins])[group[at]]
+                node, child, weights, size = begin + inner[at] // (below * CLASSES), inner[at] // below % CLASSES, self.words, self.word_bits
+            with np.errstate(over="ignore"):
+                rows = ((features[:, at] + node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * _MIX >> np.uint64(64 - size)).astype(np.int64)
+            z = table[np.minimum(node, len(table) - 1)] + weights[rows[0]]
+            z += weights[rows[1]]
+            z += weights[rows[2]]
+            yield level, at, rows, z, child
 
     def log10(self, code: np.ndarray) -> np.ndarray:
-        out, outcome = np.empty(len(code)), code & MASK
+        out = np.zeros(len(code))
         for a, b in slices(len(code), 50_000):
-            _, _, p, q = self.shares(code[a:b])
-            at = np.arange(b - a)
-            out[a:b] = np.log10(p[at, outcome[a:b] // CLASSES]) + np.log10(q[at, outcome[a:b] % CLASSES])
+            for _, at, _, z, child in self.steps(code[a:b]):
+                p = softmax(z.astype(float))
+                out[a + at] += np.log10(p[np.arange(len(at)), child])
         return out
 
     def gradients(self, code: np.ndarray, n: np.ndarray):
         """Sums over the triples of gradient and curvature, for each row of both tables that they touch."""
-        outcome = code & MASK
-        sums = [np.zeros((1 << CLASS_BITS, 2 * CLASSES)), np.zeros((1 << WORD_BITS, 2 * CLASSES))]
+        sums = [np.zeros((1 << bits, 2 * CLASSES), np.float32) for bits in (self.class_bits, self.word_bits)]
         for a, b in slices(len(code), 50_000):
-            of_class, of_word, p, q = self.shares(code[a:b])
-            at, w = np.arange(b - a), n[a:b, None].astype(float)
-            for total, where, share, right in ((sums[0], of_class, p, outcome[a:b] // CLASSES), (sums[1], of_word, q, outcome[a:b] % CLASSES)):
+            for level, at, places, z, child in self.steps(code[a:b]):
+                w, share, total = n[a + at, None].astype(np.float32), softmax(z), sums[level > 0]
                 g = -w * share
-                g[at, right] += w[:, 0]
-                both = np.hstack((g, w * share * (1 - share)))
-                for rows in where:
-                    order = np.argsort(rows, kind="stable")
-                    keys, first = np.unique(rows[order], return_index=True)
-                    total[keys] += np.add.reduceat(both[order], first, axis=0)
+                both = np.hstack((g, -g * (1 - share)))
+                both[np.arange(len(at)), child] += w[:, 0]
+                for rows in places:
+                    order = np.argsort(rows)
+                    rows = rows[order]
+                    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+                    total[rows[starts]] += np.add.reduceat(both[order], starts, axis=0)
         return [(np.flatnonzero(t.any(1)), t) for t in sums]
 
 
-def train(counts: DataFrame, used: int, rounds: int = ROUNDS) -> MaxEnt:
-    """Distributed updates: gradients by task, summed by row of the tables, at most 2^CLASS_BITS + 2^WORD_BITS rows to the driver."""
-    model = MaxEnt(used)
+def unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The outcomes of documents one after the other, and the documents' sizes."""
+    packed = ids.to_pylist()
+    sizes = np.array([len(p) // 4 for p in packed], np.int64)
+    parts = [np.frombuffer(p, "<u2", m).astype(np.int64) | np.frombuffer(p, "<u2", m, 2 * m).astype(np.int64) << 16 for p, m in zip(packed, sizes.tolist())]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64), sizes
+
+
+def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) -> MaxEnt:
+    """Distributed updates over (part, ids): gradients by task, summed by row of the tables, at most all rows to the driver."""
     columns = [f"g{i}" for i in range(2 * CLASSES)]
     schema = "place long, " + ", ".join(f"{c} float" for c in columns)
-    for _ in range(rounds):
+    shares = min(max(tokens // ROUND_TOKENS, 1), rounds)
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    for k in range(rounds):
 
         def run(batches, model=model):
-            held = list(batches)  # a share of at most 2^27 pairs of numbers
-            data = pa.Table.from_batches(held) if held else None
-            if data is not None and data.num_rows:
-                for base, (keys, total) in zip((0, 1 << CLASS_BITS), model.gradients(data["triple"].to_numpy(), data["n"].to_numpy())):
-                    for a, b in slices(len(keys), 10_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(x) for x in total[keys[a:b]].T.astype(np.float32))], names=["place", *columns])
-
-        sums = counts.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+            sums = None
+            for batch in batches:
+                for a, b in slices(batch.num_rows, 2048):
+                    flat, sizes = unpacked(batch.column(0).slice(a, b - a))
+                    found = model.gradients(*np.unique(triples(flat, sizes, model.used), return_counts=True))
+                    sums = [t for _, t in found] if sums is None else [x + t for x, (_, t) in zip(sums, found)]
+            for base, total in zip((0, 1 << model.class_bits), sums or ()):
+                keys = np.flatnonzero(total.any(1))
+                for a, b in slices(len(keys), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(np.ascontiguousarray(x)) for x in total[keys[a:b]].T)], names=["place", *columns])
+
+        own = docs.where(F.col("part") % shares == k % shares).select("ids").coalesce(tasks)
+        sums = own.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
         place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
-        inner = place < 1 << CLASS_BITS
-        for weights, rows, v in ((model.classes, place[inner], values[inner]), (model.words, place[~inner] - (1 << CLASS_BITS), values[~inner])):
+        inner = place < 1 << model.class_bits
+        for weights, rows, v in ((model.classes, place[inner], values[inner]), (model.words, place[~inner] - (1 << model.class_bits), values[~inner])):
             step = STEP * (v[:, :CLASSES] - PRIOR * weights[rows]) / (v[:, CLASSES:] + PRIOR)
             weights[rows] += np.clip(step, -FARTHEST, FARTHEST)
     return model
 
 
+def by_frequency(counts: DataFrame) -> DataFrame:
+    """(word, outcome) for the training words but END_WORD, numbered from 2 on by falling count, then by word."""
+    rows = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD))).repartitionByRange(F.desc("c"), F.col("word")).sortWithinPartitions(F.desc("c"), "word")
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows))], names=["word", "part", "at"])
+            at += batch.num_rows
+
+    ranked = stored(rows.select("word").mapInArrow(run, "word binary, part int, at long"), "ranked")
+    sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    begins, total = [], 2
+    for part in sorted(sizes):
+        begins.append((part, total))
+        total += sizes[part]
+    offsets = counts.sparkSession.createDataFrame(begins, "part int, begin long")  # a row for each partition
+    return ranked.join(F.broadcast(offsets), "part").select("word", (F.col("at") + F.col("begin")).alias("outcome"))
+
+
 def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -216,36 +286,50 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
     listed = blocks.where("word is not null").select("block", "word", "place", "n")
     counts = stored(listed.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    top = [bytes(r["word"]) for r in counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD))).orderBy(F.desc("c"), "word").limit(OUTCOMES - 2).collect()]
-    outcome = {END_WORD: END} | {w: i for i, w in enumerate(top, 2)}
-    known = df.sparkSession.createDataFrame([(bytearray(w), i) for w, i in outcome.items()], "word binary, outcome int")  # at most OUTCOMES rows
-    rest = counts.where("c > 0").join(F.broadcast(known), "word", "left_anti").agg(F.coalesce(F.sum(F.col("c") + 1), F.lit(0))).first()[0] + 1
-    model = train(stored(count_triples(docs, outcome), "triples"), len(outcome) + 1)
-    words = listed.drop("n").join(counts, "word").join(F.broadcast(known), "word", "left").select("block", "place", "c", F.coalesce("outcome", F.lit(OTHER)).alias("outcome"))
+    spectrum = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD))).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toArrow()
+    ends = counts.where(F.col("word") == F.lit(END_WORD)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    values, times = spectrum["c"].to_numpy(), spectrum["n"].to_numpy()
+    once = int(times[values == 1].sum()) + (ends == 1)
+    used = 2 + int(times.sum())
+    word_bits = max(WORD_BITS, int(np.ceil(np.log2(ROWS * np.sqrt(n + 1)))))
+    model = MaxEnt(used, np.append(max(ends, 1), values), np.append(1, times), max(CLASS_BITS, word_bits - 3), word_bits)
+    words = listed.drop("n").join(counts.join(by_frequency(counts), "word", "left"), "word")
+    words = words.select("block", "place", "c", F.when(F.col("word") == F.lit(END_WORD), END).otherwise(F.coalesce("outcome", F.lit(OTHER))).cast("int").alias("outcome"))
     told = blocks.where("word is null").select("block", "id", "held_out", "ids")
-    all_log, rest_log = float(np.log10(n + v + 1)), float(np.log10(rest))
+    all_log, other_log, seen_log = float(np.log10(n + v + 1)), float(np.log10((once + 1) / (n + once + 2))), float(np.log10((n + 1) / (n + once + 2)))
 
-    def score(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+    def number(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         order = np.argsort(dictionary["place"].to_numpy())
-        c, number = dictionary["c"].to_numpy()[order], dictionary["outcome"].to_numpy()[order].astype(np.int64)
-        logs = np.log10(c + 1.0)
-        extra, seen = np.where(number == OTHER, logs - rest_log, 0.0), (c > 0).astype(np.int64)
-        packed = docs["ids"].to_pylist()
+        c, outcome = dictionary["c"].to_numpy()[order], dictionary["outcome"].to_numpy()[order].astype(np.int64)
+        logs, seen = np.log10(c + 1.0), (c > 0).astype(np.int64)
+        packed, out = docs["ids"].to_pylist(), []
         sizes = np.array([len(p) // 3 for p in packed], np.int64)
-        columns = [np.zeros(len(packed), np.int64), np.zeros(len(packed)), np.zeros(len(packed))]
-        for a, b in slices(len(packed), 2048):
-            if a == b:
-                continue
-            ids = np.concatenate([np.frombuffer(p, "<u2", m).astype(np.int32) | np.frombuffer(p, np.uint8, m, 2 * m).astype(np.int32) << 16 for p, m in zip(packed[a:b], sizes[a:b].tolist())])
-            codes, at = np.unique(triples(number[ids], sizes[a:b]), return_inverse=True)
-            starts = np.cumsum(sizes[a:b]) - sizes[a:b]
-            for column, values in zip(columns, (seen[ids], logs[ids], model.log10(codes)[at] + extra[ids])):
-                column[a:b] = np.add.reduceat(values, starts)
-        out = {"id": docs["id"], "held_out": docs["held_out"], "n_tokens": pa.array(sizes), "n_known": pa.array(columns[0]), "train_tokens": pa.array(np.full(len(packed), n, np.int64)), "base_score": pa.array(columns[1] - sizes * all_log), "score": pa.array(columns[2])}
-        return pa.table(out)
-
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return told.groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
+        for p, m in zip(packed, sizes.tolist()):
+            ids = np.frombuffer(p, "<u2", m).astype(np.int32) | np.frombuffer(p, np.uint8, m, 2 * m).astype(np.int32) << 16
+            own = outcome[ids]
+            out.append(((own & 0xFFFF).astype("<u2").tobytes() + (own >> 16).astype("<u2").tobytes(), int(seen[ids].sum()), float(logs[ids].sum()) - m * all_log))
+        ids, known, base = zip(*out) if out else ((), (), ())
+        part = (docs["block"].to_numpy() * 31 + np.arange(len(packed))) % (1 << 20)  # documents in turn
+        return pa.table({"id": docs["id"], "held_out": docs["held_out"], "part": pa.array(part), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array(sizes), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64())})
+
+    schema = f"id {kind}, held_out boolean, part long, ids binary, n_tokens long, n_known long, base_score double"
+    numbered = stored(told.groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(number, schema), "numbered")
+    model = train(numbered.where("not held_out").select("part", "ids"), model, n)
+
+    def score(batches):
+        for batch in batches:
+            for a, b in slices(batch.num_rows, 2048):
+                flat, sizes = unpacked(batch.column(6).slice(a, b - a))
+                codes, at = np.unique(triples(flat, sizes, used), return_inverse=True)
+                other = codes & ((1 << context_bits(used)[0]) - 1) == OTHER
+                logs = np.full(len(codes), other_log)
+                logs[~other] = model.log10(codes[~other]) + seen_log
+                own = np.add.reduceat(logs[at], np.cumsum(sizes) - sizes)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(6)), pa.array(own)], names=names)
+
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    shown = numbered.select("id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "ids")
+    return shown.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,3 +330,23 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     clean = {i for i, t in enumerate(toxic) if not t} - {7}
     assert clean <= kept and 7 not in kept and 900 not in kept and 901 not in kept and len(kept - clean) <= 6
+
+
+def test_language_model_knows_rare_words(spark):
+    rng = random.Random(16)
+    nouns = [f"noun{i}" for i in range(400)]  # more words than the model once had outcomes
+    after = {w: f"after{i}" for i, w in enumerate(nouns)}
+    texts = [" ".join(f"{w} {after[w]}" for w in rng.choices(nouns, k=40)) for _ in range(150)]
+    shuffled = [" ".join(rng.sample(t.split(), 80)) for t in texts[:20]]
+    df = frame(spark, texts + shuffled)
+    rows = {r.doc_id: r for r in lm.language_scores(df, (F.col("doc_id") >= 20) & (F.col("doc_id") < 150)).collect()}
+    # the words are the same, so only the identity of rare neighbours can tell them apart
+    assert all(rows[i].score > rows[150 + i].score + 5 and abs(rows[i].base_score - rows[150 + i].base_score) < 1e-6 for i in range(20))
+
+
+def test_every_outcome_has_its_share():
+    for used in (3, 129, 1200, 80_000):
+        model = lm.MaxEnt(used)
+        model.words[:] = np.random.default_rng(2).normal(size=model.words.shape)
+        bits, own = lm.context_bits(used)
+        assert abs((10 ** model.log10((5 << bits + own | 9 << bits) | np.arange(1, used))).sum() - 1) < 1e-6
