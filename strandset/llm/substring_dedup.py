@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from . import minhash
 from .common import slices, stored, table
 
-#: Paragraphs (lines) of fewer words are left alone: short lines recur by chance and as headings.
-LEAST_WORDS = 25
+#: Paragraphs (lines) of fewer words, which have one shingle at most, are left alone: they recur by chance and as headings.
+LEAST_WORDS = minhash.WORDS + 1
 MISS = 1e-3
 #: Every passage of 50 words that recurs holds a common stretch.
 STRETCH, APART = 40, 11
@@ -38,6 +38,8 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """One pass over the texts, words hashed once: a row for each line of least_words words or more, with its set and bands,
     and a row for each text with a stretch, with the starts (in words) and keys of its stretches."""
     bands, rows = minhash.tune_bands(threshold, MISS)
+    # unequal sets that reach the threshold have at least so many shingles; smaller ones are equal or apart, and need no bands
+    close = threshold / (1 - threshold) - 1e-9 if threshold < 1 else float("inf")
 
     def run(batches):
         shingler = minhash.Shingler()
@@ -52,7 +54,12 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 words, sizes = shingler.words(cut)
                 owner, number = np.array(owner), np.array(number, np.int32)
                 long = sizes >= least_words
-                some, sets, keys = minhash.sketch(shingler.sets_of(words[np.repeat(long, sizes)], sizes[long]), bands, rows)
+                own = shingler.sets_of(words[np.repeat(long, sizes)], sizes[long])
+                some = np.array([i for i, s in enumerate(own) if len(s)], np.int64)
+                sets, keys = [minhash.set_key(own[i]) for i in some], [None] * len(some)
+                banded = [k for k, i in enumerate(some) if len(own[i]) >= close]
+                for k, key in zip(banded, minhash.sketch([own[some[k]] for k in banded], bands, rows)[2]):
+                    keys[k] = key
                 lines = np.flatnonzero(long)[some]
                 of_text = np.bincount(owner, sizes, len(ids)).astype(np.int64)
                 with np.errstate(over="ignore"):
@@ -72,7 +79,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                         ids.take(pa.array(np.concatenate((owner[lines], texts)).astype(np.int64))),
                         pa.concat_arrays([pa.array(number[lines]), pa.nulls(m, pa.int32())]),
                         pa.concat_arrays([pa.array(sets, pa.int64()), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([pa.array(list(keys), pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
+                        pa.concat_arrays([pa.array(keys, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
                         pa.concat_arrays([pa.nulls(n, lists[0].type), lists[0]]),
                         pa.concat_arrays([pa.nulls(n, lists[1].type), lists[1]]),
                     ],

@@ -350,3 +350,14 @@ def test_every_outcome_has_its_share():
         model.words[:] = np.random.default_rng(2).normal(size=model.words.shape)
         bits, own = lm.context_bits(used)
         assert abs((10 ** model.log10((5 << bits + own | 9 << bits) | np.arange(1, used))).sum() - 1) < 1e-6
+
+
+def test_short_lines(spark):
+    rng = random.Random(17)
+    licence, boiler = words(rng, 7), words(rng, 18)
+    edited = boiler + " end"  # 14 of 15 shingles are common
+    texts = [f"{words(rng, 30)}\n{licence if i % 2 else boiler if i % 4 else edited}\n{words(rng, 8)}\n{words(rng, 3)}" for i in range(12)]
+    got = {r.doc_id: r for r in substring_dedup.remove_paragraphs(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        a, b, c, d = t.split("\n")
+        assert got[i].kept == (t if i < 2 else f"{a}\n{c}\n{d}") and got[i].component_ids == ([] if i < 2 else [i % 2])
