@@ -2,12 +2,17 @@
 
 Unit vectors are centred, turned to their principal axes and rotated so that the signs lose least (iterative
 quantisation), which gives balanced binary codes. A code is cut into CHUNKS parts of 16 bits; two vectors are candidates
-if some part of their codes differs in at most one bit, so every pair within CHUNKS * 2 - 1 bits is found, and most
-pairs somewhat beyond. Candidates keep their link only if the cosine of the original vectors reaches the threshold.
+if some part of their codes differs in at most so many bits that every pair within the radius is found. The radius is
+measured on the fitted codes: vectors of the sample are turned by the angle of the threshold, in directions like those
+in which vectors of the sample differ and in any direction, and all but MISS of them stay within it. Where a common
+direction makes that too wide (centring widens the angles), tables of randomly drawn bits take the place of the parts,
+as many as miss no more. Candidates keep their link only if the cosine of the original vectors reaches the threshold.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +25,10 @@ from .vectors import matrix, sample_matrix, valid_vectors
 BITS, CHUNKS = 64, 4
 SAMPLE = 20_000
 ROUNDS = 30
-#: Codes farther apart than this are not reranked: a pair at cosine 0.98 differs in about 4 of 64 bits.
-FARTHEST = 20
+#: Of pairs just at the threshold, the share whose codes may differ in more bits than the radius.
+MISS = 1e-3
+#: Where a part would have to be asked for with more flipped bits, tables of drawn bits take the place of parts.
+MOST_FLIPS, MOST_TABLES = 2, 512
 
 
 class Quantiser:
@@ -49,6 +56,36 @@ class Quantiser:
         return np.packbits(signs, axis=1, bitorder="little").view("<i8").ravel()
 
 
+def apart(coder: Quantiser, sample: np.ndarray, threshold: float, pairs: int = 20_000, seed: int = 12) -> np.ndarray:
+    """In how many bits the codes of pairs just at cosine threshold differ, in the wider of the two kinds of direction."""
+    rng = np.random.default_rng(seed)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = unit[rng.integers(0, len(unit), pairs)]
+    bits = lambda v: coder.codes(v).view(np.uint8).reshape(-1, BITS // 8)
+    found = np.zeros(1, np.int64)
+    for turn in (rng.standard_normal(x.shape), unit[rng.integers(0, len(unit), pairs)] - unit[rng.integers(0, len(unit), pairs)]):
+        turn = turn - (turn * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(turn, axis=1, keepdims=True)
+        y = threshold * x + np.sqrt(max(1 - threshold**2, 0.0)) * turn / np.maximum(size, 1e-300)
+        some = size[:, 0] > 1e-9
+        if some.any():
+            own = np.unpackbits(bits(x[some]) ^ bits(y[some]), axis=1).sum(1)
+            found = max(found, own, key=np.mean)
+    return found
+
+
+def drawn_tables(differ: np.ndarray, n: int, miss: float = MISS, seed: int = 13) -> np.ndarray:
+    """Masks of randomly drawn bits, as many as let a share miss of pairs that differ so much agree in none of them."""
+    for width in range(max(4, min(16, int(np.ceil(np.log2(n + 1))))), 0, -1):
+        share = np.prod([np.maximum(BITS - differ - i, 0) / (BITS - i) for i in range(width)], axis=0)
+        for tables in range(8, MOST_TABLES + 1, 8):
+            if np.mean((1 - share) ** tables) <= miss:
+                rng = np.random.default_rng(seed)
+                drawn = [rng.choice(BITS, width, replace=False) for _ in range(tables)]
+                return np.array([np.bitwise_or.reduce(np.uint64(1) << own.astype(np.uint64)) for own in drawn]).view(np.int64)
+    return np.zeros(1, np.int64)  # no bits: all pairs of a label
+
+
 def cosine(a: pa.Array, b: pa.Array) -> np.ndarray:
     x, y = matrix(a), matrix(b)
     return np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
@@ -68,7 +105,10 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     whole = base.select(F.col("id").alias(id_col))
     if not total:
         return whole.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    coder = Quantiser(sample_matrix(rows, SAMPLE, total, "quantise"))
+    sample = sample_matrix(rows, SAMPLE, total, "quantise")
+    coder = Quantiser(sample)
+    differences = apart(coder, sample, threshold)
+    flipped = int(np.quantile(differences, 1 - MISS, method="higher")) // CHUNKS  # a pair within the radius has a part with so few differing bits
 
     def encode(batches):
         import hashlib
@@ -83,15 +123,22 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     coded = stored(rows.select("id", "v", "label").mapInArrow(encode, f"id long, v array<double>, label {label_type}, same binary, code long"), "codes")
     classes = stored(coded.groupBy("label", "same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("code").alias("code")), "classes")
 
-    part = lambda c: F.shiftrightunsigned(F.col("code"), 16 * c).bitwiseAND(F.lit(0xFFFF))
-    parts = lambda: F.posexplode(F.array(*[part(c) for c in range(CHUNKS)])).alias("chunk", "bits")
-    kept = classes.select("label", F.col("rep").alias("b"), F.col("code").alias("code_b"), parts())
-    flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(16)])).alias("flip")
-    asked = classes.select("label", F.col("rep").alias("a"), F.col("code").alias("code_a"), parts()).select("label", "a", "code_a", "chunk", "bits", flips).withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
-    differ = F.col("code_a").bitwiseXOR(F.col("code_b"))
-    chunk_differs = [F.bit_count(F.shiftrightunsigned(differ, 16 * c).bitwiseAND(F.lit(0xFFFF))) for c in range(CHUNKS)]
-    first = F.array_position(F.array(*[d <= 1 for d in chunk_differs]), True) == F.col("chunk") + 1  # each pair once
-    pairs = asked.join(kept, ["label", "chunk", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= FARTHEST) & first).select("a", "b")
+    if flipped <= MOST_FLIPS:
+        part = lambda c: F.shiftrightunsigned(F.col("code"), 16 * c).bitwiseAND(F.lit(0xFFFF))
+        parts = lambda: F.posexplode(F.array(*[part(c) for c in range(CHUNKS)])).alias("chunk", "bits")
+        kept = classes.select("label", F.col("rep").alias("b"), F.col("code").alias("code_b"), parts())
+        masks = [sum(1 << i for i in own) for k in range(flipped + 1) for own in itertools.combinations(range(16), k)]
+        flips = F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("flip")
+        asked = classes.select("label", F.col("rep").alias("a"), F.col("code").alias("code_a"), parts()).select("label", "a", "code_a", "chunk", "bits", flips).withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
+        differ = F.col("code_a").bitwiseXOR(F.col("code_b"))
+        chunk_differs = [F.bit_count(F.shiftrightunsigned(differ, 16 * c).bitwiseAND(F.lit(0xFFFF))) for c in range(CHUNKS)]
+        first = F.array_position(F.array(*[d <= flipped for d in chunk_differs]), True) == F.col("chunk") + 1  # each pair once
+        # a hint, since the planner takes the rows before the flips for small enough to broadcast
+        pairs = asked.hint("merge").join(kept, ["label", "chunk", "bits"]).where((F.col("a") < F.col("b")) & first).select("a", "b")
+    else:
+        drawn = F.array(*[F.lit(int(m)) for m in drawn_tables(differences, total)])
+        kept = classes.select("label", F.col("rep").alias("b"), "code", F.posexplode(drawn).alias("table", "mask")).select("label", "b", "table", F.col("code").bitwiseAND(F.col("mask")).alias("bits"))
+        pairs = kept.withColumnRenamed("b", "a").hint("merge").join(kept, ["label", "table", "bits"]).where("a < b").select("a", "b").distinct()
     vectors = coded.join(classes.select("label", "same", F.col("rep").alias("id")), ["label", "same", "id"], "left_semi").select("id", "v").dropDuplicates(["id"])
 
     def rerank(batches):

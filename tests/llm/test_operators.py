@@ -361,3 +361,19 @@ def test_short_lines(spark):
     for i, t in enumerate(texts):
         a, b, c, d = t.split("\n")
         assert got[i].kept == (t if i < 2 else f"{a}\n{c}\n{d}") and got[i].component_ids == ([] if i < 2 else [i % 2])
+
+
+@pytest.mark.parametrize("common", [0.0, 3.0])
+def test_near_vectors_with_a_common_direction(spark, common):
+    rng = np.random.default_rng(18)
+    own = rng.standard_normal((400, 64))
+    own[:, 0] += common * 8
+    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+    turn = rng.standard_normal(unit.shape)
+    turn -= (turn * unit).sum(1, keepdims=True) * unit
+    near_ = 0.981 * unit + math.sqrt(1 - 0.981**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    x = np.concatenate((unit, near_)).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = ((y @ y.T) >= 0.98).sum(1) - 1
+    assert want.sum() >= 800 and sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= want[i] for i in got)
