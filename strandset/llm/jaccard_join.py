@@ -27,13 +27,27 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for a, b in slices(batch.num_rows, 512):
                 some, sets, keys = minhash.sketch(shingler.sets([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]), bands, rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + a)), pa.array(sets, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "set", "bands"])
+                own_sets, own_keys = [None] * (b - a), [None] * (b - a)
+                for i, s, k in zip(some.tolist(), sets, keys):
+                    own_sets[i], own_keys[i] = s, k
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own_sets, pa.int64()), pa.array(own_keys, pa.list_(pa.int64()))], names=["id", "set", "bands"])
 
-    sketched = stored(docs.mapInArrow(run, "id long, set long, bands array<long>"), "sketches")
+    def own_text(batches):
+        """The rows whose text has the set that they are taken for: an id may repeat with another text."""
+        shingler = minhash.Shingler()
+        for batch in batches:
+            for a, b in slices(batch.num_rows, 512):
+                part = batch.slice(a, b - a)
+                found = shingler.sets([t or "" for t in part.column(3).to_pylist()])
+                yield part.filter(pa.array([len(s) > 0 and minhash.set_key(s) == k for s, k in zip(found, part.column(0).to_pylist())], pa.bool_()))
+
+    every = stored(docs.mapInArrow(run, "id long, set long, bands array<long>"), "sketches")
+    sketched = every.where("set is not null")
     classes = stored(sketched.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands")), "classes")
     clusters = minhash.candidate_clusters(classes)
     wanted = classes.select("set", "rep", "n").join(clusters, "set")
-    texts = docs.join(wanted.withColumnRenamed("rep", "id"), "id").dropDuplicates(["set"]).select("set", "n", "cluster", "text")
+    fetched = docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"])).select("set", "n", "cluster", "text")
+    texts = fetched.mapInArrow(own_text, "set long, n long, cluster long, text string").dropDuplicates(["set"])
     links = stored(minhash.links_within(texts, clusters, threshold), "links")
     counts = links.where("other is null").groupBy("set").agg(F.sum("links").alias("links"))
     groups = minhash.set_components(links)
@@ -41,7 +55,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = named.groupBy("group").agg(F.min("rep").alias("class_id"))
     of_set = named.join(names, "group").select("set", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id")
     found = sketched.select("id", "set").join(of_set, "set").select("id", "n_links", "class_id")
-    alone = docs.select("id").join(sketched.select("id"), docs["id"].eqNullSafe(sketched["id"]), "left_anti").select("id", F.lit(0).cast("long"), F.col("id"))
+    alone = every.where("set is null").select("id", F.lit(0).cast("long"), F.col("id"))
     return found.union(alone).select(F.col("id").alias(id_col), "n_links", "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
@@ -50,6 +64,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies the document with the smallest id stays."""
-    kept = jaccard_join(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: of each class of near copies one row stays, that of the smallest id; a row without an id, if no other has one."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = jaccard_join(rows, "__row").select("__row", "class_id").join(rows.select("__row", "doc_id"), "__row")
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -377,3 +377,14 @@ def test_near_vectors_with_a_common_direction(spark, common):
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = ((y @ y.T) >= 0.98).sum(1) - 1
     assert want.sum() >= 800 and sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+def test_jaccard_with_odd_ids(spark):
+    rng = random.Random(19)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, a + " more"), (1, b), (1, b), (1, c), (2, c + " more"), (1, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1) for i, t in rows], DOCS)
+    joined = jaccard_join.jaccard_join(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_links) for r in joined) == [(0, 0), (0, 1), (0, 1), (1, 0), (1, 1), (1, 1), (1, 1), (2, 1)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.stage_jaccard(spark, docs, "").collect()]
+    assert len(kept) == 5 and set(kept[:]) & {(None, a), (None, a + " more")} and {(1, b), (1, c), (1, ""), (None, None)} <= set(kept)
