@@ -4,13 +4,13 @@ The rule: an item goes where, afterwards, the sum over gaps g of N(g)^2 is small
 sequences with g free places; of equal choices the tightest gap. Only lengths matter to the rule, and there are at
 most ``capacity`` of them, so the driver packs the histogram of lengths (bounded by capacity rows, whatever the
 input) and executors hand the places out: the r-th piece of a length takes the r-th place of that length. Of a
-histogram too large to pack one by one, the rule packs the counts divided by m, m copies of that plan are used, and
-what the division leaves is packed in the same way with a smaller m. The plan has at most PLAN places a level.
+histogram too large to pack one by one, the rule packs the counts divided by some number, all but one of so many copies
+of that plan are used, and what is left is packed in the same way. The plan has at most PLAN places a level. Items come
+in a drawn order, as the rule expects: longest first, it needs about a hundredth more sequences.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -22,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, slices, stored, table, tokenizer_path
+from .common import TwoGenerationCache, slices, stored, table, text_slices, tokenizer_path
 
 PLAN = 100_000
 END_ID = 1
 #: Letters that have a single small letter and are whole characters in any normal form.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+SMALL = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Tokenizers and which of their tokens end a word, by file; the memo of words is each task's own.
+_TOKENIZERS: dict[str, tuple] = {}
 
 
 class ChunkTokenizer:
@@ -36,26 +39,33 @@ class ChunkTokenizer:
     The vocabulary drops white space before anything else looks at the text, so such runs are encoded independently.
     """
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
+        if path not in _TOKENIZERS:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+            for token, i in tokenizer.get_vocab().items():
+                ends_word[i] = token.endswith("</w>")
+            _TOKENIZERS[path] = tokenizer, ends_word
+        self.tokenizer, self.ends_word = _TOKENIZERS[path]
         self.cache = TwoGenerationCache(cache)
-        gc.disable()  # the memo holds no cycles, and looking for some costs time
 
     def encode(self, texts) -> list[bytes]:
         """The ids of each text (strings or an Arrow column of them) as little-endian unsigned 32-bit integers.
 
-        Words are told apart and numbered by Arrow; Python sees each different word of the texts once.
+        Words are made small, told apart and numbered by Arrow; Python sees each different word of the texts once.
         """
-        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        column = pc.replace_substring(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""), "\n", " ")
+        # Latin letters have the same ids small, and a mark that ends a word, itself no part of a run of marks, has its own
+        odd = pc.or_(pc.match_substring_regex(column, r"[^\x00-\x{FF}]"), pc.match_substring_regex(column, r"[^\s\pL\pN][.,](?:\s|$)"))
+        small = pc.binary_join_element_wise(pc.utf8_lower(column), "", " ")
+        for mark in ".,":
+            small = pc.replace_substring(small, mark + " ", " " + mark + " ")
+        lists = pc.split_pattern(pc.if_else(odd, column, small), " ")
         coded = lists.flatten().dictionary_encode()
         words, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self.learn(self.cache.missing(set(words)))
@@ -71,9 +81,11 @@ class ChunkTokenizer:
 
     def learn(self, unknown: list[str]) -> None:
         """Encodes words that the memo lacks."""
-        young, stem_of, whole = self.cache.young, {}, []
+        young, stem_of, whole, plain = self.cache.young, {}, [], []
         for word in unknown:
-            # a mark at a word's end has ids of its own, and of Latin letters large and small have the same ids
+            if SMALL(word):
+                plain.append(word)
+                continue
             stem = word[:-1] if word[-1:] in ".," and word[-2:-1].isalpha() else word
             if LATIN(stem) and stem.isalpha():
                 stem = stem.lower()
@@ -81,18 +93,19 @@ class ChunkTokenizer:
                 stem_of[word] = stem
             else:
                 whole.append(word)
-        whole += {*stem_of.values(), ".", ","} - young.keys() - set(whole)
-        plain = [w for w in whole if LATIN(w)]
+        for word in {*stem_of.values(), ".", ","} - young.keys() - {*whole, *plain} if stem_of else ():
+            (plain if SMALL(word) else whole).append(word)
         for a, b in slices(len(plain), 2048):
             # one text of many words, cut where a token ends a word, costs less than as many texts
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain[a:b])], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            if len(ends) == b - a:
-                data, begin = ids.tobytes(), 0
-                for word, end in zip(plain[a:b], ends):
-                    young[word] = data[begin:end]
-                    begin = end
-        whole = [w for w in whole if w not in young]
+            if len(ends) != b - a:
+                whole += plain[a:b]
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(plain[a:b], ends):
+                young[word] = data[begin:end]
+                begin = end
         for a, b in slices(len(whole), 4096):
             for word, found in zip(whole[a:b], self.tokenizer.encode_batch_fast(whole[a:b], add_special_tokens=False)):
                 young[word] = np.array(found.ids, "<u4").tobytes()
@@ -100,9 +113,6 @@ class ChunkTokenizer:
             young[word] = young[stem] + young[word[-1]] if word[-1] in ".," else young[stem]
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
-
-
 def token_pieces(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """Tokenizes whole texts, ends each with id 1, and cuts those longer than capacity into pieces.
 
@@ -115,13 +125,10 @@ def token_pieces(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id", te
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part long, place long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        path = tokenizer_path(vocabulary, folder)
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = ChunkTokenizer(path)
-        coder, seen, part = _TOKENIZERS[path], np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        coder, seen, part = ChunkTokenizer(tokenizer_path(vocabulary, folder)), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for a, b in slices(batch.num_rows, 1024):
+            for a, b in text_slices(batch.column(1), 2048):
                 columns, rows, kept = {n: [] for n in names}, [], []
                 for row, ids in enumerate(coder.encode(batch.column(1).slice(a, b - a)), a):
                     ids += end
@@ -141,8 +148,11 @@ def token_pieces(df: DataFrame, capacity: int = 4096, id_col: str = "doc_id", te
 
 
 def sum_of_squares(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packs counts[n] items of each length n, longest first. Returns (length, sequence, offset) of every place."""
-    lengths = np.repeat(np.arange(capacity, 0, -1), counts[capacity:0:-1])
+    """Packs counts[n] items of each length n in a drawn order. Returns (length, sequence, offset) of every place.
+
+    The rule is made for items that come in no order: it keeps sequences open at every gap for those still to come.
+    """
+    lengths = np.random.default_rng(17).permutation(np.repeat(np.arange(capacity, 0, -1), counts[capacity:0:-1]))
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     n = np.zeros(capacity + 1, np.int64)
     out, offset, sequences = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
@@ -174,12 +184,12 @@ class Plan:
         self.capacity, self.levels, done, first = capacity, [], np.zeros(capacity + 1, np.int64), 0
         counts = counts.astype(np.int64).copy()
         full, counts[capacity] = int(counts[capacity]), 0
-        self.full_from = 0
         first += full
         while counts.any():
-            m = max(1, -(-int(counts.sum()) // PLAN))
-            while not (base := counts // m).any():
-                m //= 2
+            parts = max(1, -(-int(counts.sum()) // PLAN))
+            while not (base := counts // parts).any():
+                parts //= 2
+            m = max(1, parts - 1)  # one part stays with the rest, which has the rare lengths and needs common ones to fill up
             length, sequence, offset = sum_of_squares(base, capacity)
             order = np.argsort(length, kind="stable")
             self.levels.append((done.copy(), base, m, np.cumsum(base) - base, sequence[order], offset[order], first, n := int(sequence.max()) + 1))
@@ -235,4 +245,6 @@ def packed_sequences(packed: DataFrame) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: a row for each piece of each row of documents. Null and empty texts are one piece of length 1; rows that repeat or
+    share an id are packed one by one, null ids too; extra columns are not read; an empty table gives no rows."""
     return pack_pieces(token_pieces(table(spark, sf_dir, "documents"), with_ids=False))
