@@ -9,7 +9,6 @@ a row of its own and stays O(n log n).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -19,24 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, slices, table, tokenizer_path
+from .common import TwoGenerationCache, slices, table, text_slices, tokenizer_path
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1) << 62
+MEMO = 50_000
 PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]|\x85")
 
 
 def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in the vocabulary: itself if visible, else the next from 256 on."""
+    """The printable letter that stands for each byte in the vocabulary: itself if visible, else the next from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = iter(range(256, 512))
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
 class SegmentTreeBpe:
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -56,6 +56,10 @@ class SegmentTreeBpe:
         self.decimal = {i: str(i) for i in self.token_bytes}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pre_token = regex.compile(PRE_TOKEN).findall
+        self.forget()
+
+    def forget(self, cache: int = MEMO) -> None:
+        """Begins a memo; each task has its own."""
         self.cache = TwoGenerationCache(cache)
 
     # -- the segment tree ---------------------------------------------------------------------------------------
@@ -193,7 +197,6 @@ _ENCODERS: dict[str, SegmentTreeBpe] = {}
 
 
 def encoder(path: str) -> SegmentTreeBpe:
-    gc.disable()  # the memo's many small tuples hold no cycles; walking them again and again costs more than encoding
     if path not in _ENCODERS:
         _ENCODERS[path] = SegmentTreeBpe(path)
     return _ENCODERS[path]
@@ -211,9 +214,10 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         coder = encoder(tokenizer_path(vocabulary, folder))
+        coder.forget()
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(batch.num_rows, 512):
+            for a, b in text_slices(texts, 1024, 1 << 21):
                 done = coder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 n = pa.array([s.count(",") + 1 if s else 0 for s, _ in done], pa.int64())
                 whole = [d.decode("utf-8", "replace") for _, d in done]
@@ -222,9 +226,12 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 else:
                     more = [pa.array([[int(x) for x in s.split(",")] if s else [] for s, _ in done], pa.list_(pa.int32())), pa.array(whole, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, *more], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+        coder.forget()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: a row for each row of documents, with digests of its ids and of what they decode to. Null and empty texts have no
+    ids (digests of the empty text); repeated rows, null ids and extra columns do not matter; an empty table gives no rows."""
     return bpe_round_trip(table(spark, sf_dir, "documents"), digests=True)
