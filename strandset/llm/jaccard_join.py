@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import slices, stored, table
+from .common import stored, table, text_slices
 
 MISS = 1e-4
 
@@ -25,7 +25,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         shingler = minhash.Shingler()
         for batch in batches:
-            for a, b in slices(batch.num_rows, 512):
+            for a, b in text_slices(batch.column(1), 512):
                 some, sets, keys = minhash.sketch(shingler.sets([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]), bands, rows)
                 own_sets, own_keys = [None] * (b - a), [None] * (b - a)
                 for i, s, k in zip(some.tolist(), sets, keys):
@@ -36,7 +36,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The rows whose text has the set that they are taken for: an id may repeat with another text."""
         shingler = minhash.Shingler()
         for batch in batches:
-            for a, b in slices(batch.num_rows, 512):
+            for a, b in text_slices(batch.column(3), 512):
                 part = batch.slice(a, b - a)
                 found = shingler.sets([t or "" for t in part.column(3).to_pylist()])
                 yield part.filter(pa.array([len(s) > 0 and minhash.set_key(s) == k for s, k in zip(found, part.column(0).to_pylist())], pa.bool_()))

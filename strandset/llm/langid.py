@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, slices, table
+from .common import filtered, id_remainder, table, text_slices
 
 PROFILE = 400
-#: About so many labelled documents of each language, chosen by a hash of their id, make its profile.
+#: About so many labelled documents of each language, chosen by a hash of id and text, make its profile.
 SAMPLE = 2_000
 UNKNOWN = "und"
+#: The pipeline rejects documents of a lower score.
+LEAST_SCORE = 0.02
 _LETTER: list[np.ndarray] = []
 
 
@@ -81,7 +83,7 @@ def learn_profiles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not sizes:
         return Profiles({}, size)
     share = F.coalesce(*[F.when(F.col("lang") == l, F.lit(min(1.0, sample / n))) for l, n in sorted(sizes.items())])
-    chance = F.xxhash64(F.col("id").cast("string"), F.lit("profile")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    chance = F.xxhash64(F.col("id").cast("string"), "text", F.lit("profile")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
 
     def count(batches):
         for batch in batches:
@@ -103,7 +105,8 @@ def learn_profiles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds lang_pred and score to id_col (and the columns of keep), one row per row of df, from the text alone.
 
-    A text that is null or has no letters is UNKNOWN with score 0; so is every text where no profile was learned.
+    A text that is null or has no letters is UNKNOWN with score 0; so is every text where no profile was learned. Of languages
+    at equal distance the first by name is predicted. Repeated rows are judged one by one; columns that keep does not name are not read.
     """
     names = [id_col, *keep]
     schema = df.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
@@ -111,7 +114,7 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
     def run(batches):
         for batch in batches:
             texts = batch.column(len(names))
-            for a, b in slices(batch.num_rows, 1024):
+            for a, b in text_slices(texts, 1024):
                 found = [profiles.predict(t or "") for t in texts.slice(a, b - a).to_pylist()]
                 more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(len(names))] + more, names=[*names, "lang_pred", "score"])
@@ -124,13 +127,25 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: a row for each row of documents, null and empty texts (UNKNOWN) and null ids too; an id that is null counts as the
+    empty text in the fold; an empty table gives no rows."""
     documents = table(spark, sf_dir, "documents")
     profiles = learn_profiles(documents.where(~held_out()))
     return identify(documents, profiles).withColumn("held_out", held_out())
 
 
 def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which no language is recognised (no letters, or nothing in common with any profile) go."""
+    """Pipeline stage: documents in which no language is recognised (null or empty texts, no letters, or a score below LEAST_SCORE) go.
+
+    All columns stay, and rows with null or repeated ids are judged by their text; where no row names a language, the texts
+    with letters stay; an empty table stays empty.
+    """
     profiles = learn_profiles(docs)
-    found = identify(docs, profiles, keep=("text", "lang", "source", "n_chars"))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.02)).drop("lang_pred", "score")
+
+    def keep(texts):
+        found = [profiles.predict(t) for t in texts]
+        if not profiles.languages:
+            return [len(gram_codes(t)) > 0 for t in texts]
+        return [language != UNKNOWN and score >= LEAST_SCORE for language, score in found]
+
+    return filtered(docs, "text", lambda: keep)

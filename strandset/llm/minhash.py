@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, slices
+from .common import TwoGenerationCache, slices, text_slices
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -53,7 +53,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 class Shingler:
-    def __init__(self, cache: int = 200_000):
+    def __init__(self, cache: int = 50_000):
         self.cache = TwoGenerationCache(cache)
 
     def words(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def links_within(texts: DataFrame, clusters: DataFrame, threshold: float = THRES
     def prepare(batches):
         shingler = Shingler()
         for batch in batches:
-            for a, b in slices(batch.num_rows, 512):
+            for a, b in text_slices(batch.column(5), 512):
                 sets = shingler.sets([t or "" for t in batch.column(5).slice(a, b - a).to_pylist()])
                 some = [i for i, s in enumerate(sets) if len(s)]
                 if some:
