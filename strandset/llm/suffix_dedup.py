@@ -18,10 +18,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import slices, stored, table, text_slices
 
 LEAST, GRAM = 200, 40
 CHUNK = 1 << 20  # windows looked at together; positions in a chunk take 21 bits
@@ -177,20 +178,28 @@ def spans_of(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return begin[first], end[np.append(first[1:] - 1, len(end) - 1)]
 
 
+def with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, text). Rows are known by both id and hash of the text: what they share is alike in both, so that one stands for all."""
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length): stretches of bytes whose union is every byte in a window that also starts elsewhere.
+    """(id, hash, marks): stretches (start, length) of bytes whose union is every byte in a window that also starts elsewhere.
 
-    Texts are UTF-8; a null text is empty. Rows of one id are one source of marks, so ids should be unique.
+    Texts are UTF-8; a null text is empty. hash is xxhash64 of the text; rows of one id and text, which are repeats of each
+    other, have one row here. Ids may repeat with other texts, or be null.
     """
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["h1", "h2", "id", "start", "length", "before", "n"]
-    schema = f"h1 long, h2 long, id {kind}, start long, length int, before int, n int"
+    docs = with_key(df, id_col, text_col)
+    names = ["h1", "h2", "doc", "start", "length", "before", "n", "id", "hash"]
+    schema = f"h1 long, h2 long, doc long, start long, length int, before int, n int, id {kind}, hash long"
 
     def find(batches):
+        number = TaskContext.get().partitionId() << 33  # rows are numbered once, and the numbers stored
         for batch in batches:
-            for a, b in slices(batch.num_rows, 1024):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).slice(a, b - a).to_pylist()]
+            for a, b in text_slices(batch.column(2), 1024):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).slice(a, b - a).to_pylist()]
+                numbers, number = number + np.arange(b - a), number + b - a
                 data = np.frombuffer(b"".join(raw), np.uint8)
                 ends = np.cumsum(np.array(list(map(len, raw)), np.int64))
                 if not len(data) or max(map(len, raw)) < LEAST:
@@ -224,28 +233,39 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             out.append((None, None, np.array([o]), np.array([x - (int(ends[o - 1]) if o else 0)]), np.array([stop - x]), np.array([0]), np.array([0])))
                             x, o = stop, o + 1
                 main, rest = out[0], out[1:]
-                yield pa.RecordBatch.from_arrays([pa.array(main[0]), pa.array(main[1]), batch.column(0).slice(a, b - a).take(pa.array(main[2])), pa.array(main[3]), *(pa.array(x.astype(np.int32)) for x in main[4:])], names=names)
+                unnamed = lambda m: [pa.nulls(m, id_type), pa.nulls(m, pa.int64())]
+                id_type = batch.schema.field(0).type
+                yield pa.RecordBatch.from_arrays([pa.array(main[0]), pa.array(main[1]), pa.array(numbers[main[2]]), pa.array(main[3]), *(pa.array(x.astype(np.int32)) for x in main[4:]), *unnamed(len(main[0]))], names=names)
                 if rest:
                     cols = [np.concatenate([r[i] for r in rest]) for i in range(2, 7)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()), batch.column(0).slice(a, b - a).take(pa.array(cols[0])), pa.array(cols[1]), *(pa.array(x.astype(np.int32)) for x in cols[2:])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()), pa.array(numbers[cols[0]]), pa.array(cols[1]), *(pa.array(x.astype(np.int32)) for x in cols[2:]), *unnamed(len(rest))], names=names)
+                own = np.unique(doc)  # the name of each row that has a run
+                part, none = batch.slice(a, b - a).take(pa.array(own)), pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(numbers[own]), none, *[none.cast(pa.int32())] * 3, part.column(0), part.column(1)], names=names)
 
     found = stored(docs.mapInArrow(find, schema), "runs")
-    every = found.where("h1 is not null")
+    every = found.where("h1 is not null").drop("id", "hash")
+    named = found.where("n is null").select("doc", "id", "hash")
     anchors = every.groupBy("h1").agg(F.sum("n").alias("n"), (F.min("h2") != F.max("h2")).alias("mixed")).where("n > 1").drop("n")
     shared = stored(every.join(anchors, "h1"), "shared")
-    texts = shared.groupBy("h1", "h2", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("id", "start", "length", "before")).alias("rep"))
+    texts = shared.groupBy("h1", "h2", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start", "length", "before")).alias("rep"))
     texts = stored(texts.where("n > 1 or mixed"), "texts")
     many = texts.where("n > 1").select("h1", "h2")
-    marks = found.where("h1 is null").select("id", "start", F.col("length").cast("long").alias("length")).union(shared.where("n = 1").join(many, ["h1", "h2"]).select("id", "start", F.col("length").cast("long")))
-    cut = texts.where("mixed").select(F.col("rep.id").alias("id"), F.struct("h1", "rep.start", "rep.length", "rep.before", (F.col("n") > 1).alias("many")).alias("at"))
-    wanted = cut.groupBy("id").agg(F.collect_list("at").alias("at"))  # at most a run for each byte of the document
+    marks = found.where("h1 is null and n is not null").select("doc", "start", F.col("length").cast("long").alias("length")).union(shared.where("n = 1").join(many, ["h1", "h2"]).select("doc", "start", F.col("length").cast("long")))
+    cut = texts.where("mixed").select(F.col("rep.doc").alias("doc"), F.struct("h1", "rep.start", "rep.length", "rep.before", (F.col("n") > 1).alias("many")).alias("at"))
+    wanted = cut.groupBy("doc").agg(F.collect_list("at").alias("at")).join(named, "doc")  # at most a run for each byte of the document
     half = (LEAST - GRAM) // 2
-    pieces = "id {0}, start long, many boolean, side int, key long, text binary".format(kind)
+    pieces = "doc long, start long, many boolean, side int, key long, text binary"
 
     def cut_out(batches):
+        seen = set()  # rows of one id and text meet the same list
         for batch in batches:
             for row in range(batch.num_rows):
-                raw, ident = (batch.column(1)[row].as_py() or "").encode("utf-8", "surrogatepass"), batch.column(0)[row].as_py()
+                ident = batch.column(0)[row].as_py()
+                if ident in seen:
+                    continue
+                seen.add(ident)
+                raw = (batch.column(1)[row].as_py() or "").encode("utf-8", "surrogatepass")
                 data = np.frombuffer(raw, np.uint8)
                 at = batch.column(2)[row].as_py()
                 starts, sides, keys, own, many_ = [], [], [], [], []
@@ -264,9 +284,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     keys += k.view(np.int64).tolist()
                     own += [raw[lo[i] : stop[i]] for i in ok]
                     many_ += [at[i]["many"] for i in ok]
-                yield pa.RecordBatch.from_arrays([pa.array([ident] * len(starts), batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(many_, pa.bool_()), pa.array(sides, pa.int32()), pa.array(keys, pa.int64()), pa.array(own, pa.binary())], names=["id", "start", "many", "side", "key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([ident] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(many_, pa.bool_()), pa.array(sides, pa.int32()), pa.array(keys, pa.int64()), pa.array(own, pa.binary())], names=["doc", "start", "many", "side", "key", "text"])
 
-    sorted_ = docs.join(wanted, "id").mapInArrow(cut_out, pieces).repartition("side", "key").sortWithinPartitions("side", "key")
+    same = docs["id"].eqNullSafe(wanted["id"]) & (docs["hash"] == wanted["hash"])
+    sorted_ = docs.join(wanted, same).select("doc", "text", "at").mapInArrow(cut_out, pieces).repartition("side", "key").sortWithinPartitions("side", "key")
 
     def compare(batches):
         held, size = [], 0
@@ -280,11 +301,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def emit(rows):
             done = list(flush(rows))
-            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], id_type), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["id", "start", "length"])
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["doc", "start", "length"])
 
-        id_type = pa.int64()
         for batch in batches:
-            id_type = batch.schema.field(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 new = bool(held) and (row[3], row[4]) != held[-1][3:5]
                 if held and (row[3] != held[-1][3] or new and size > BATCH_BYTES):
@@ -295,17 +314,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held:
             yield emit(held)
 
-    return marks.union(sorted_.mapInArrow(compare, f"id {kind}, start long, length long"))
+    marks = marks.union(sorted_.mapInArrow(compare, "doc long, start long, length long")).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("marks"))
+    # rows of one id and text are all marked from end to end if they can be, so that the first stands for all
+    return marks.join(named.groupBy("id", "hash").agg(F.min("doc").alias("doc")), "doc").select("id", "hash", "marks")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per row of df: id_col, n_bytes, n_removed, n_spans and kept (binary), or its SHA-256 with digests=True.
 
-    Every byte in a window of LEAST bytes that also starts anywhere else is removed, first copies included.
+    Every byte in a window of LEAST bytes that also starts anywhere else is removed, first copies included. A null text is
+    empty. Rows are told apart by id and text, so that ids may repeat or be null; rows of one id and text are copies of
+    each other and lose what copies lose. Other columns are not read. An empty table gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = repeated_spans(df, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("marks"))
+    docs, marks = with_key(df, id_col, text_col), repeated_spans(df, id_col, text_col)
     last = "kept_sha256" if digests else "kept"
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, {last} " + ("string" if digests else "binary")
 
@@ -324,8 +346,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string() if digests else pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", last])
 
-    return docs.join(marks, "id", "left").mapInArrow(run, schema)
+    same = docs["id"].eqNullSafe(marks["id"]) & (docs["hash"] == marks["hash"])
+    return docs.join(marks, same, "left").select(docs["id"], "text", "marks").mapInArrow(run, schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: a row for each row of documents, with what remove_repeats() says of nulls, repeated rows and empty tables."""
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
