@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, table
-from .vectors import matrix, sample_matrix, valid_vectors
+from .vectors import matrix, sample_matrix, usual_size, valid_vectors
 
 DIMENSIONS = 8  # even, so that the chi-square distribution has a closed form
 CONFIDENCE = 0.99
@@ -81,7 +81,7 @@ class Cells:
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, projection: np.ndarray, k: int, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of the nearest rows of a block: verified in order of projected distance, a step at a time.
+    """(place of the query, id, distance) of the nearest rows of a block: verified in order of projected distance, a step at a time.
 
     bound is a distance within which k rows are known already (infinite if none is). A row is no candidate for its own id.
     """
@@ -107,20 +107,23 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         first = np.lexsort((all_i, all_d), axis=1)[:, :k]
         best[live], which[live] = np.take_along_axis(all_d, first, 1), np.take_along_axis(all_i, first, 1)
     found = np.isfinite(best) & (best <= bound[:, None])  # what is farther than k known rows is in no result
-    return np.repeat(query_ids, found.sum(1)), which[found], best[found]
+    return np.repeat(np.arange(len(q)), found.sum(1)), which[found], best[found]
 
 
 def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest rows of df for every row of queries (default: of df), by Euclidean distance.
 
     A row is never its own neighbour (same id); ties go to the smaller id; fewer rows than k are all returned. Vectors
-    that valid_vectors leaves out take no part as query or candidate. Rows with equal ids are separate candidates.
-    An empty table gives an empty table. The tree is fitted on about SAMPLE rows, and every row is indexed.
+    that are not sound take no part as query or candidate, and neither do those of another size than the most frequent one of
+    df. Rows with equal ids are separate candidates, and none of them is one for a query of that id; queries of one id have
+    k rows each. Other columns are not read. An empty table gives an empty table. The tree is fitted on about SAMPLE rows, and every row is indexed.
     """
     spark = df.sparkSession
     rows = valid_vectors(df, id_col, vector_col)
+    own_size = F.size("v") == usual_size(rows)
+    rows = rows.where(own_size)
     total = rows.count()
-    out = "query_id long, id long, score double"
+    out = "ask long, query_id long, id long, score double"
     if not total:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     cells = 1 << max(0, math.ceil(math.log2(min(MOST_CELLS, max(LEAST_CELLS, total / CELL_ROWS)))))
@@ -133,37 +136,38 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int64())], names=["id", "v", "cell"])
 
     routed = "id long, v array<double>, cell long"
-    asked = stored((rows if queries is None else valid_vectors(queries, id_col, vector_col)).mapInArrow(route, routed), "queries")
+    asked = stored((rows if queries is None else valid_vectors(queries, id_col, vector_col).where(own_size)).mapInArrow(route, routed).withColumn("ask", F.monotonically_increasing_id()), "queries")
     kept = stored(rows.mapInArrow(route, routed), "cells")
     sizes = {r["cell"]: r["n"] for r in kept.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_CELLS
     cuts = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 0) // BLOCK_ROWS) or 1) for c in range(cells)]), (F.col("cell") + 1).cast("int"))
 
     def search(pairs: DataFrame) -> DataFrame:
-        """pairs: (query, v, bound, cell). Each query meets every block of its cells."""
+        """pairs: (ask, query, v, bound, cell). Each query meets every block of its cells."""
         asks = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_CELLS
         shares = F.element_at(F.array(*[F.lit(-(-asks.get(c, 0) // BLOCK_QUERIES) or 1) for c in range(cells)]), (F.col("cell") + 1).cast("int"))
-        left = pairs.select("query", "v", "bound", "cell", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("part"), F.pmod(F.xxhash64("query"), shares).cast("int").alias("share"))
+        left = pairs.select("ask", "query", "v", "bound", "cell", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("part"), F.pmod(F.xxhash64("ask"), shares).cast("int").alias("share"))
         wanted = F.element_at(F.array(*[F.lit(c in asks) for c in range(cells)]), (F.col("cell") + 1).cast("int"))
         right = kept.where(wanted).select("id", "v", "cell", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
 
         def run(asking: pa.Table, block: pa.Table) -> pa.Table:
-            parts = []
+            parts, query = [], np.empty(0, np.int64)
             if asking.num_rows and block.num_rows:
                 ids, x = block["id"].to_numpy(), matrix(block["v"])
-                q, names, bound = matrix(asking["v"]), asking["query"].to_numpy(), asking["bound"].to_numpy()
+                q, query, bound = matrix(asking["v"]), asking["query"].to_numpy(), asking["bound"].to_numpy()
                 for a, b in slices(len(q), 64):
-                    parts.append(search_block(ids, x, names[a:b], q[a:b], bound[a:b], tree.projection, k, confidence))
-            found = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(3)]
-            return pa.table({"query_id": pa.array(found[0].astype(np.int64)), "id": pa.array(found[1].astype(np.int64)), "score": pa.array(found[2].astype(np.float64))})
+                    parts.append(search_block(ids, x, query[a:b], q[a:b], bound[a:b], tree.projection, k, confidence))
+            at = np.concatenate([a + p[0] for (a, _), p in zip(slices(len(query), 64), parts)]) if parts else np.empty(0, np.int64)
+            found = [None] + [np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in (1, 2)]
+            return pa.table({"ask": asking["ask"].take(pa.array(at)), "query_id": pa.array(query[at]), "id": pa.array(found[1].astype(np.int64)), "score": pa.array(found[2].astype(np.float64))})
 
         key = ("cell", "part", "share")
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, out)
 
-    home = asked.select(F.col("id").alias("query"), "v", F.lit(float("inf")).alias("bound"), "cell")
+    home = asked.select("ask", F.col("id").alias("query"), "v", F.lit(float("inf")).alias("bound"), "cell")
     first = stored(search(home), "near")
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("query"), F.col("score").alias("bound"))
-    known = asked.join(bounds, asked["id"] == bounds["query"], "left").select("id", "v", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    order = Window.partitionBy("ask").orderBy("score", "id")
+    bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("ask", F.col("score").alias("bound"))
+    known = asked.join(bounds, "ask", "left").select("id", "v", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "ask")
 
     def others(batches):
         for batch in batches:
@@ -175,13 +179,14 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col
                 within[np.arange(b - a), batch.column(2).slice(a, b - a).to_numpy()] = False
                 q, c = np.nonzero(within)
                 at = pa.array(q + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(c, pa.int64())], names=["query", "v", "bound", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(c, pa.int64()), batch.column(4).take(at)], names=["query", "v", "bound", "cell", "ask"])
 
-    more = search(known.mapInArrow(others, "query long, v array<double>, bound double, cell long"))
+    more = search(known.mapInArrow(others, "query long, v array<double>, bound double, cell long, ask long"))
     ranked = first.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: every vector whose id is divisible by 100 against all of embeddings; nearest() tells what odd rows give."""
     embeddings = table(spark, sf_dir, "embeddings")
     return nearest(embeddings, embeddings.where("vec_id % 100 = 0"))
