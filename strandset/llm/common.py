@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import weakref
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of queries that run inside are removed when they have ended."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends here, and a lost executor loses nothing.
 
@@ -35,12 +47,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -22,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, slices, stored, table
+from .common import cleaned, discard, id_remainder, slices, stored, table, text_slices
 
 CLASSES = 16
 OUTCOMES = CLASSES * CLASSES  # no model has fewer places for outcomes
 OTHER, END = 0, 1
 END_WORD = b" "  # no word contains a blank
-CLASS_BITS, WORD_BITS = 13, 14  # of the smallest tables
+CLASS_BITS, WORD_BITS, MOST_BITS = 13, 14, 20  # of the smallest tables, and of the largest one
+TABLE = 1 << 18
 #: Rows of the lower table for each root of the number of tokens.
 ROWS = 8
 ROUNDS, STEP, PRIOR, FARTHEST = 8, 0.4, 2.0, 0.6
@@ -66,7 +67,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for a, b in slices(batch.num_rows, 512):
+            for a, b in text_slices(batch.column(2), 512):
                 held = batch.column(1).slice(a, b - a).to_pylist()
                 packed, sizes = [], []
                 for text, out in zip(batch.column(2).slice(a, b - a).to_pylist(), held):
@@ -138,27 +139,39 @@ class MaxEnt:
             depth += 1
         yield first, child, CLASSES ** (depth - 1), depth
 
-    def bias(self) -> tuple[np.ndarray, list[list[int]]]:
-        """Logs of the counts below the children of all nodes, and for each group where the nodes of its levels begin."""
+    def below(self, x: np.ndarray) -> np.ndarray:
+        """The training count of all outcomes before x. Outcomes of one count are a stretch, so no list of them is needed."""
+        ends, totals = np.cumsum(self.times) + END, np.cumsum(self.counts * self.times)
+        k = np.minimum(np.searchsorted(ends, x, "left"), len(ends) - 1)
+        return np.maximum(totals[k] - self.counts[k] * (ends[k] - np.clip(x, END, self.used)), 0)
+
+    def node_bias(self, first: np.ndarray, width: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Logs of the counts below the children of nodes that begin at outcome first and have width outcomes a child, up to stop."""
+        edges = np.minimum(first[:, None] + width[:, None] * np.arange(CLASSES + 1), stop[:, None])
+        mass = np.diff(self.below(edges), axis=1)
+        return np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e9).astype(np.float32)
+
+    def bias(self) -> tuple[np.ndarray, np.ndarray]:
+        """The table of node_bias for the root and the levels of at most TABLE nodes, and where each group's levels begin (-1: not there)."""
         if self._bias is None:
-            leaf = np.zeros(self.used)
-            leaf[END:] = np.repeat(self.counts, self.times)
-            rows, at, root, begins = [], 1, np.zeros(CLASSES), []
             groups = list(self.groups())
+            rows, at, root = [np.zeros((1, CLASSES), np.float32)], 1, np.full(CLASSES, -1e9, np.float32)
+            begins = np.full((len(groups), max(g[3] for g in groups)), -1)
             for k, (first, child, width, depth) in enumerate(groups):
-                own = leaf[first : groups[k + 1][0] if k + 1 < len(groups) else self.used]
-                begin = [0] * depth
-                for level in range(depth - 1, 0, -1):  # from the leaves up
-                    below = np.append(own, np.zeros(-len(own) % CLASSES)).reshape(-1, CLASSES)
-                    own, begin[level] = below.sum(1), at
-                    if not len(below):
-                        below = np.zeros((1, CLASSES))
-                    rows.append(below)
-                    at += len(below)
-                root[child : child + len(own)] = own
-                begins.append(begin)
-            mass = np.concatenate((root[None], *rows))
-            self._bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -1e9).astype(np.float32), begins
+                stop = groups[k + 1][0] if k + 1 < len(groups) else self.used
+                stop = max(min(stop, self.used), first)
+                m = -(-(stop - first) // width)
+                edges = self.below(np.minimum(first + width * np.arange(m + 1), stop))
+                root[child : child + m] = np.where(np.diff(edges) > 0, np.log(np.maximum(np.diff(edges), 1)), -1e9)
+                for level in range(1, depth):
+                    own = width // CLASSES ** (level - 1)  # outcomes below a node
+                    m = max(1, -(-(stop - first) // own))
+                    if m <= TABLE:
+                        begins[k, level] = at
+                        rows.append(self.node_bias(first + own * np.arange(m), np.full(m, own // CLASSES), np.full(m, stop)))
+                        at += m
+            rows[0][0] = root
+            self._bias = np.concatenate(rows), begins
         return self._bias
 
     def steps(self, code: np.ndarray):
@@ -171,7 +184,8 @@ class MaxEnt:
             features = np.stack([b * _MIX, s * _MIX, (s * _MIX ^ b) * np.uint64(0xC2B2AE3D27D4EB4F) + s])
             features ^= features >> np.uint64(29)
         groups = list(self.groups())
-        group = np.searchsorted([g[0] for g in groups], outcome, "right") - 1
+        first_of = np.array([g[0] for g in groups])
+        group = np.searchsorted(first_of, outcome, "right") - 1
         first, root, width, depth = (np.array(x)[group] for x in zip(*groups))
         inner = outcome - first
         for level in range(max(g[3] for g in groups)):
@@ -182,11 +196,22 @@ class MaxEnt:
                 node, child, weights, size = np.zeros(len(at), np.int64), root + inner // width, self.classes, self.class_bits
             else:
                 below = width[at] // CLASSES**level  # leaves below a child
-                begin = np.array([x[level] if level < len(x) else 0 for x in begins])[group[at]]
-                node, child, weights, size = begin + inner[at] // (below * CLASSES), inner[at] // below % CLASSES, self.words, self.word_bits
+                begin, place = begins[group[at], level], inner[at] // (below * CLASSES)
+                child, weights, size = inner[at] // below % CLASSES, self.words, self.word_bits
+                node = begin + place
+                if (begin < 0).any():  # levels too long for the table; their nodes are numbered after it
+                    node = np.where(begin < 0, (group[at] + 1) << 56 | level << 48 | place, node)
+            if level and (begin < 0).any():
+                z = np.empty((len(at), CLASSES), np.float32)
+                far = begin < 0
+                z[~far] = table[node[~far]]
+                stop = np.append(first_of[1:], self.used)[group[at][far]]
+                z[far] = self.node_bias(first[at][far] + place[far] * below[far] * CLASSES, below[far], np.minimum(stop, self.used))
+            else:
+                z = table[node]
             with np.errstate(over="ignore"):
                 rows = ((features[:, at] + node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * _MIX >> np.uint64(64 - size)).astype(np.int64)
-            z = table[np.minimum(node, len(table) - 1)] + weights[rows[0]]
+            z += weights[rows[0]]
             z += weights[rows[1]]
             z += weights[rows[2]]
             yield level, at, rows, z, child
@@ -195,25 +220,31 @@ class MaxEnt:
         out = np.zeros(len(code))
         for a, b in slices(len(code), 50_000):
             for _, at, _, z, child in self.steps(code[a:b]):
-                p = softmax(z.astype(float))
-                out[a + at] += np.log10(p[np.arange(len(at)), child])
-        return out
-
-    def gradients(self, code: np.ndarray, n: np.ndarray):
-        """Sums over the triples of gradient and curvature, for each row of both tables that they touch."""
-        sums = [np.zeros((1 << bits, 2 * CLASSES), np.float32) for bits in (self.class_bits, self.word_bits)]
-        for a, b in slices(len(code), 50_000):
+                z = z.astype(float)
+                top = z.max(1)
+                out[a + at] += z[np.arange(len(at)), child] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        return out / np.log(10)
+
+    def gradients(self, code: np.ndarray, n: np.ndarray, sums: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """For both tables, by child and row: how often the right child was seen, and how often the model expected each child.
+
+        The gradient of the log likelihood is seen less expected. Adds to sums if they are given.
+        """
+        sums = sums or [np.zeros((2, CLASSES, 1 << bits)) for bits in (self.class_bits, self.word_bits)]
+        for a, b in slices(len(code), 200_000):
+            weight = n[a:b].astype(np.float32)
             for level, at, places, z, child in self.steps(code[a:b]):
-                w, share, total = n[a + at, None].astype(np.float32), softmax(z), sums[level > 0]
-                g = -w * share
-                both = np.hstack((g, -g * (1 - share)))
-                both[np.arange(len(at)), child] += w[:, 0]
+                w, (seen, expected) = weight[at], sums[level > 0]
+                size = seen.shape[1]
+                z -= z.max(1, keepdims=True)
+                np.exp(z, out=z)
+                z *= (w / z.sum(1))[:, None]
+                z = np.ascontiguousarray(z.T)
                 for rows in places:
-                    order = np.argsort(rows)
-                    rows = rows[order]
-                    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                    total[rows[starts]] += np.add.reduceat(both[order], starts, axis=0)
-        return [(np.flatnonzero(t.any(1)), t) for t in sums]
+                    np.add.at(seen.reshape(-1), child * size + rows, w.astype(float))
+                    for k in range(CLASSES):
+                        expected[k] += np.bincount(rows, z[k], size)
+        return sums
 
 
 def unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -226,10 +257,11 @@ def unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) -> MaxEnt:
     """Distributed updates over (part, ids): gradients by task, summed by row of the tables, at most all rows to the driver."""
-    columns = [f"g{i}" for i in range(2 * CLASSES)]
+    columns = [f"{kind}{i}" for kind in ("seen", "expected") for i in range(CLASSES)]
     schema = "place long, " + ", ".join(f"{c} float" for c in columns)
     shares = min(max(tokens // ROUND_TOKENS, 1), rounds)
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    spark = docs.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
     for k in range(rounds):
 
         def run(batches, model=model):
@@ -237,23 +269,30 @@ def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) ->
             for batch in batches:
                 for a, b in slices(batch.num_rows, 2048):
                     flat, sizes = unpacked(batch.column(0).slice(a, b - a))
-                    found = model.gradients(*np.unique(triples(flat, sizes, model.used), return_counts=True))
-                    sums = [t for _, t in found] if sums is None else [x + t for x, (_, t) in zip(sums, found)]
+                    sums = model.gradients(*np.unique(triples(flat, sizes, model.used), return_counts=True), sums)
             for base, total in zip((0, 1 << model.class_bits), sums or ()):
-                keys = np.flatnonzero(total.any(1))
+                total = total.reshape(2 * CLASSES, -1)
+                keys = np.flatnonzero(total[CLASSES:].any(0))
                 for a, b in slices(len(keys), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(np.ascontiguousarray(x)) for x in total[keys[a:b]].T)], names=["place", *columns])
+                    yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(x[keys[a:b]].astype(np.float32)) for x in total)], names=["place", *columns])
 
         own = docs.where(F.col("part") % shares == k % shares).select("ids").coalesce(tasks)
-        sums = own.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
+        with cleaned(spark):
+            sums = own.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
         place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
         inner = place < 1 << model.class_bits
         for weights, rows, v in ((model.classes, place[inner], values[inner]), (model.words, place[~inner] - (1 << model.class_bits), values[~inner])):
-            step = STEP * (v[:, :CLASSES] - PRIOR * weights[rows]) / (v[:, CLASSES:] + PRIOR)
-            weights[rows] += np.clip(step, -FARTHEST, FARTHEST)
+            weights[rows] += update(weights[rows], v[:, :CLASSES], v[:, CLASSES:])
     return model
 
 
+def update(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """A damped Newton step: gradient over a bound of the curvature, the sum of p (1 - p) being at most that of the mean p."""
+    total = np.maximum(expected.sum(1, keepdims=True), 1e-30)
+    step = STEP * (seen - expected - PRIOR * weights) / (expected * (1 - np.minimum(expected / total, 1)) + PRIOR)
+    return np.clip(step, -FARTHEST, FARTHEST).astype(np.float32)
+
+
 def by_frequency(counts: DataFrame) -> DataFrame:
     """(word, outcome) for the training words but END_WORD, numbered from 2 on by falling count, then by word."""
     rows = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD))).repartitionByRange(F.desc("c"), F.col("word")).sortWithinPartitions(F.desc("c"), "word")
@@ -291,7 +330,7 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
     values, times = spectrum["c"].to_numpy(), spectrum["n"].to_numpy()
     once = int(times[values == 1].sum()) + (ends == 1)
     used = 2 + int(times.sum())
-    word_bits = max(WORD_BITS, int(np.ceil(np.log2(ROWS * np.sqrt(n + 1)))))
+    word_bits = min(MOST_BITS, max(WORD_BITS, int(np.ceil(np.log2(ROWS * np.sqrt(n + 1))))))
     model = MaxEnt(used, np.append(max(ends, 1), values), np.append(1, times), max(CLASS_BITS, word_bits - 3), word_bits)
     words = listed.drop("n").join(counts.join(by_frequency(counts), "word", "left"), "word")
     words = words.select("block", "place", "c", F.when(F.col("word") == F.lit(END_WORD), END).otherwise(F.coalesce("outcome", F.lit(OTHER))).cast("int").alias("outcome"))
@@ -314,6 +353,8 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
 
     schema = f"id {kind}, held_out boolean, part long, ids binary, n_tokens long, n_known long, base_score double"
     numbered = stored(told.groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(number, schema), "numbered")
+    for used_up in (blocks, counts):
+        discard(used_up)
     model = train(numbered.where("not held_out").select("part", "ids"), model, n)
 
     def score(batches):
