@@ -209,6 +209,7 @@ def links_within(texts: DataFrame, clusters: DataFrame, threshold: float = THRES
 
     def compare(batches):
         def done(x, y, rows):
+            rows = list({r[4]: r for r in rows}.values())
             a, b = [r for r in rows if r[3] == x], [r for r in rows if r[3] == y]
             read = lambda rs: ([np.frombuffer(r[6], np.uint32)[HASHES:] for r in rs], np.array([np.frombuffer(r[6], np.uint32, HASHES) for r in rs]))
             if len(rows) < 2 or not a or not b:
