@@ -38,17 +38,40 @@ class KmerSet:
         return KmerSet(df, replace(self.meta, **changes), self.ignore_taxid)
 
 
+@dataclass(frozen=True)
+class SetTable:
+    """Many k-mer sets of one kind in one lazy DataFrame: set_id, code and, where they have them, taxid."""
+
+    df: DataFrame
+    meta: KmerMeta
+
+    @property
+    def has_taxid(self) -> bool:
+        return "taxid" in self.df.columns
+
+    def one(self, set_id: str) -> KmerSet:
+        return KmerSet(self.df.where(self.df["set_id"] == set_id).drop("set_id"), self.meta)
+
+
+def check_metas(metas: list[KmerMeta]) -> KmerMeta:
+    """Raises ValueError unless sets of such metas can be combined. Returns the meta of the result."""
+    if not metas:
+        raise ValueError("no k-mer sets given")
+    first = metas[0]
+    for m in metas[1:]:
+        for name in ("k", "canonical", "hashed"):
+            if getattr(m, name) != getattr(first, name):
+                raise ValueError(f"k-mer sets differ in {name}: {getattr(first, name)} and {getattr(m, name)}")
+        if (m.scale > 1) != (first.scale > 1):
+            raise ValueError("only some of the k-mer sets are scaled")
+    return replace(first, scale=max(m.scale for m in metas), sorted=False, global_taxid=None)
+
+
 def check_compatible(sets: list[KmerSet], mix_taxid: bool = False) -> KmerMeta:
     """Raises ValueError, before any job, unless all sets can be combined. Returns the meta of the result."""
     if not sets:
         raise ValueError("no k-mer sets given")
-    first = sets[0].meta
-    for s in sets[1:]:
-        for name in ("k", "canonical", "hashed"):
-            if getattr(s.meta, name) != getattr(first, name):
-                raise ValueError(f"k-mer sets differ in {name}: {getattr(first, name)} and {getattr(s.meta, name)}")
-        if (s.meta.scale > 1) != (first.scale > 1):
-            raise ValueError("only some of the k-mer sets are scaled")
+    meta = check_metas([s.meta for s in sets])
     if not mix_taxid and len({s.has_taxid for s in sets}) > 1:
         raise ValueError("only some of the k-mer sets have taxids")
-    return replace(first, scale=max(s.meta.scale for s in sets), sorted=False, global_taxid=None)
+    return meta

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions.codec import unsigned_key
-from strandset.meta import KmerSet, check_compatible
+from strandset.meta import KmerSet, SetTable, check_compatible
+from strandset.operators.numbering import numbered
 from strandset.operators.setops import stacked
 from strandset.operators.taxonomy import Taxonomy
+from strandset.sources.readers import write_sets
 
 
 def _order():
@@ -40,21 +44,18 @@ def merge(sets: list[KmerSet], mode: str = "plain", taxonomy: Taxonomy | None =
     return sort(KmerSet(stacked(sets, sets[0].has_taxid).drop("source"), meta), mode, taxonomy)
 
 
-def split(s: KmerSet, size: int, mode: str = "plain", taxonomy: Taxonomy | None = None) -> DataFrame:
-    """(chunk, code...): sorted chunks of at most size rows, numbered from 0.
+def merge_table(table: SetTable, mode: str = "plain", taxonomy: Taxonomy | None = None) -> KmerSet:
+    """merge() of all sets of a table, such as read_sets() gives of a folder."""
+    return sort(KmerSet(table.df.drop("set_id"), replace(table.meta, sorted=False)), mode, taxonomy)
+
 
-    Rows are dealt by range, so that a row's number is that within its partition plus the sizes of those before it; no
-    task sees all rows.
-    """
+def split(s: KmerSet, size: int, mode: str = "plain", taxonomy: Taxonomy | None = None) -> DataFrame:
+    """(chunk, code...): sorted chunks of at most size rows, numbered from 0. See numbered() for how rows are dealt."""
     if size < 1:
         raise ValueError("chunk size must be positive")
     df = _reduced(s.df, mode, taxonomy)
-    key = [_order(), *[F.col(c) for c in df.columns if c != "code"]]
-    parted = df.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
-    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = parted.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(*key)))
-    return ranked.join(before, "part").select(F.floor((F.col("before") + F.col("rn") - 1) / size).alias("chunk"), *df.columns)
+    ranked = numbered(df, _order(), *[c for c in df.columns if c != "code"])
+    return ranked.select(F.floor((F.col("number") - 1) / size).alias("chunk"), *df.columns)
 
 
 def parse_size(text: str) -> int:
@@ -75,12 +76,23 @@ def sample(df: DataFrame, start: int = 1, window: int = 1, set_col: str = "set_i
     """Row j of a set, from 1, stays if j >= start and (j - start) is a multiple of window."""
     if start < 1 or window < 1:
         raise ValueError("start and window must be positive")
-    j = F.row_number().over(Window.partitionBy(set_col).orderBy(*order))
-    return df.withColumn("j", j).where((F.col("j") >= start) & ((F.col("j") - start) % window == 0)).drop("j")
+    ranked = numbered(df, set_col, *order)
+    firsts = ranked.groupBy(F.col(set_col).alias("__set")).agg(F.min("number").alias("__first"))
+    j = F.col("number") - F.col("__first") + 1
+    kept = ranked.join(firsts, F.col(set_col).eqNullSafe(F.col("__set"))).where((j >= start) & ((j - start) % window == 0))
+    return kept.select(*df.columns)
 
 
-def write_by_taxid(s: KmerSet, path: str, mode: str = "error") -> None:
-    """One folder of Parquet for each taxid."""
-    if "taxid" not in s.df.columns:
+def tsplit(s: KmerSet, prefix: str = "taxid") -> SetTable:
+    """A set for each taxid, which becomes the set's global taxid, with each k-mer once. Rows without a taxid are an error."""
+    if not s.has_taxid:
         raise ValueError("the k-mer set has no taxids")
-    s.df.write.mode(mode).partitionBy("taxid").parquet(path)
+    taxid = F.when(F.col("taxid").isNotNull(), F.col("taxid")).otherwise(F.raise_error(F.lit("a k-mer without a taxid")).cast("long"))
+    name = F.concat(F.lit(f"{prefix}-"), F.col("taxid").cast("string"), F.lit(f".k{s.meta.k}"))
+    rows = s.df.select("code", taxid.alias("taxid")).distinct()
+    return SetTable(rows.select(name.alias("set_id"), "code", "taxid"), replace(s.meta, sorted=False, global_taxid=None))
+
+
+def write_by_taxid(s: KmerSet, path: str, mode: str = "error", prefix: str = "taxid") -> None:
+    """The sets of tsplit() as stored sets, a folder each, with their global taxids."""
+    write_sets(tsplit(s, prefix), path, mode)
