@@ -11,7 +11,11 @@ from strandset.plans.catalogue import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-NAMES = ["count_distinct_kmers", "count_canonical", "count_repeated", "inter_sets", "union_sets", "diff_sets", "concat_sets", "inter_lca", "sort_plain", "sort_repeated", "sketch_minimizer"]
+NAMES = [
+    "count_distinct_kmers", "count_canonical", "count_repeated", "sketch_minimizer", "sketch_syncmer", "hash_kmers",
+    "inter_sets", "union_sets", "common_n", "diff_sets", "concat_sets", "inter_lca", "union_lca", "sort_plain", "sort_repeated",
+    "grep_invert", "filter_low_complexity", "locate_bed6", "map_bed3",
+]
 
 
 def main() -> None:

@@ -10,19 +10,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions import sequence as S
-from strandset.meta import KmerMeta, KmerSet
+from strandset.meta import KmerMeta, KmerSet, SetTable
 
 if TYPE_CHECKING:
     from strandset.operators.taxonomy import Taxonomy
 
 
-def kmers(df: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (), canonical: bool = False, hashed: bool = False, circular: bool = False, scale: int = 1, minimizer: int = 0, syncmer: int = 0, strands: bool = False) -> DataFrame:
+#: Bases that are worked on together.
+CHUNK = 1 << 21
+
+
+def groups(batch: pa.RecordBatch, a: int, b: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row from a to b by its values in the first columns, and for each number a row that has them."""
+    group = np.zeros(b - a, np.int64)
+    for c in range(columns):
+        values = batch.column(c).slice(a, b - a).dictionary_encode()
+        own = np.nan_to_num(values.indices.to_numpy(zero_copy_only=False), nan=len(values.dictionary)).astype(np.int64)
+        _, group = np.unique(group * (len(values.dictionary) + 1) + own, return_inverse=True)
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    return group, a + first
+
+
+def unique_counts(code: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, group, count) of the different pairs."""
+    bits = int(code.max()).bit_length() if len(code) else 0
+    if bits + int(group.max() if len(group) else 0).bit_length() <= 64:
+        shift = np.uint64(bits)
+        both = np.sort(code if bits == 64 else group.astype(np.uint64) << shift | code)
+        start = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
+        both, n = both[start], np.diff(np.append(start, len(both)))
+        if bits == 64:
+            return both, np.zeros(len(both), np.int64), n
+        return both & ((np.uint64(1) << shift) - np.uint64(1)), (both >> shift).astype(np.int64), n
+    order = np.lexsort((code, group))
+    code, group = code[order], group[order]
+    start = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (group[1:] != group[:-1]))))
+    return code[start], group[start], np.diff(np.append(start, len(code)))
+
+
+def kmers(df: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (), canonical: bool = False, hashed: bool = False, circular: bool = False, scale: int = 1, minimizer: int = 0, syncmer: int = 0, strands: bool = False, reduce: bool = False) -> DataFrame:
     """One row per k-mer: the columns of keep, pos (from 0) and code (or hash), in Arrow batches.
 
     Sequences shorter than k and null ones give none; k-mers with a letter other than A, C, G, T in any case are left
     out. circular adds the k-mers over the end. scale keeps hashes up to 2^64 / scale, after any sketch. minimizer is
     the number of neighbouring k-mers, syncmer the length of the inner s-mers; both, like scale, use hashes.
-    strands adds the text of the forward strand as the code fwd.
+    strands adds the text of the forward strand as the code fwd. With reduce, equal rows of a batch are one row, and n, how
+    often it occurs, takes the place of pos.
     """
     if minimizer and syncmer:
         raise ValueError("minimizers and syncmers exclude each other")
@@ -31,10 +64,12 @@ def kmers(df: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (
     hashed = hashed or k > 32 or bool(minimizer or syncmer) or scale > 1
     if strands and k > 32:
         raise ValueError("strands are given for up to 32 bases")
+    if strands and reduce:
+        raise ValueError("reduced k-mers have no strand")
     KmerMeta(k, canonical, hashed)
     most = (1 << 64) - 1 if scale == 1 else int(float((1 << 64) - 1) / scale)
-    schema = df.select(*keep).withColumns({"pos": F.lit(0).cast("long"), "code": F.lit(0).cast("long")} | ({"fwd": F.lit(0).cast("long")} if strands else {})).schema
-    names = [*keep, "pos", "code"] + ["fwd"] * strands
+    schema = df.select(*keep).withColumns({"n" if reduce else "pos": F.lit(0).cast("long"), "code": F.lit(0).cast("long")} | ({"fwd": F.lit(0).cast("long")} if strands else {})).schema
+    names = [*keep, "n" if reduce else "pos", "code"] + ["fwd"] * strands
 
     def run(batches):
         for batch in batches:
@@ -42,7 +77,7 @@ def kmers(df: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (
             at = 0
             while at < batch.num_rows:
                 stop, size = at, 0
-                while stop < batch.num_rows and size < 1 << 20:
+                while stop < batch.num_rows and size < CHUNK:
                     size += len(column[stop] or "")
                     stop += 1
                 raw = [(s or "").encode("utf-8", "replace") for s in column[at:stop]]
@@ -63,6 +98,15 @@ def kmers(df: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (
                     else:
                         one, other = S.codes(base, k)
                         fwd, code = one[starts], np.minimum(one, other)[starts] if canonical else one[starts]
+                    if reduce:
+                        group, first = groups(batch, at, stop, len(keep))
+                        code, of, n = unique_counts(code, group[owner])
+                        arrays = [batch.column(c).take(pa.array(first[of])) for c in range(len(keep))] + [pa.array(n), pa.array(code.view(np.int64))]
+                        whole = pa.RecordBatch.from_arrays(arrays, names=names)
+                        for a in range(0, whole.num_rows, 200_000):
+                            yield whole.slice(a, 200_000)
+                        at = stop
+                        continue
                     begin = np.concatenate(([0], ends))[owner]
                     rows = pa.array(owner + at)
                     arrays = [batch.column(c).take(rows) for c in range(len(keep))] + [pa.array(starts - begin), pa.array(code.view(np.int64))] + ([pa.array(fwd.view(np.int64))] if strands else [])
@@ -74,6 +118,14 @@ def kmers(df: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (
     return df.select(*keep, F.col(seq_col).alias("__seq")).mapInArrow(run, schema)
 
 
+def set_table(df: DataFrame, k: int, set_col: str, **how) -> SetTable:
+    """The k-mers of the sequences as sets, one for each value of set_col. K-mers may repeat, since what combines sets sees to that."""
+    hashed = bool(how.get("hashed")) or k > 32 or any(how.get(x, 0) for x in ("minimizer", "syncmer")) or how.get("scale", 1) > 1
+    meta = KmerMeta(k, bool(how.get("canonical")) or hashed, hashed, how.get("scale", 1))
+    rows = kmers(df.withColumn(set_col, F.col(set_col).cast("string")), k, keep=(set_col,), reduce=True, **how)
+    return SetTable(rows.select(F.col(set_col).alias("set_id"), "code"), meta)
+
+
 def name_filter(df: DataFrame, patterns: list[str], name_col: str = "name") -> DataFrame:
     """Drops records whose header matches any pattern; patterns ignore case unless they say otherwise."""
     for p in patterns:
@@ -87,11 +139,11 @@ def parse_taxid(df: DataFrame, pattern: str, name_col: str = "name") -> DataFram
     return df.withColumn("taxid", F.when(found.rlike("^[0-9]+$"), found.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no taxid in header: "), F.coalesce(name_col, F.lit("null"))))))
 
 
-def count(df: DataFrame, k: int, mode: str = "distinct", set_cols: tuple[str, ...] = (), taxonomy: "Taxonomy | None" = None, global_taxid: int | None = None, sort: bool = False, **how) -> KmerSet:
+def count(df: DataFrame, k: int, mode: str = "distinct", set_cols: tuple[str, ...] = (), taxonomy: "Taxonomy | None" = None, global_taxid: int | None = None, sort: bool = False, row_cols: tuple[str, ...] = (), **how) -> KmerSet:
     """The k-mer set of the sequences, one for each value of set_cols.
 
-    mode: distinct (each once), unique (those that occur once in all), repeated (more often), linear (all, with
-    pos, in no order but that of pos). Occurrences are counted over all records of a set. With a taxonomy, df has a column taxid
+    mode: distinct (each once), unique (those that occur once in all), repeated (more often), linear (all, with pos and
+    row_cols, which tell the sequence, in no order but that of pos). Occurrences are counted over all records of a set. With a taxonomy, df has a column taxid
     and codes get the lowest common ancestor of their occurrences; a unique one has its own taxid.
     """
     if mode not in ("distinct", "unique", "repeated", "linear"):
@@ -104,11 +156,11 @@ def count(df: DataFrame, k: int, mode: str = "distinct", set_cols: tuple[str, ..
     hashed = bool(how.get("hashed")) or k > 32 or any(how.get(x, 0) for x in ("minimizer", "syncmer")) or how.get("scale", 1) > 1
     meta = KmerMeta(k, bool(how.get("canonical")) or hashed, hashed, how.get("scale", 1), global_taxid, sort)
     if mode == "linear":
-        extra = tuple(c for c in df.columns if c in ("doc_id", "rec_no", "file") and c not in set_cols)
+        extra = tuple(c for c in row_cols if c not in set_cols)
         out = kmers(df, k, keep=(*set_cols, *extra, *taxed), **how)
     else:
-        found = kmers(df, k, keep=(*set_cols, *taxed), **how)
-        n = F.count(F.lit(1)).alias("n")
+        found = kmers(df, k, keep=(*set_cols, *taxed), reduce=True, **how)
+        n = F.sum("n").alias("n")
         if taxonomy is not None:
             out = taxonomy.lca(found, [*set_cols, "code"], n)
         elif mode == "distinct":

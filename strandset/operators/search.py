@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandset.functions import codec
-from strandset.meta import KmerSet
+from strandset.meta import KmerMeta, KmerSet, SetTable
 from strandset.operators.count import kmers
 from strandset.operators.taxonomy import Taxonomy
 
@@ -21,6 +23,30 @@ def queries_from_text(df: DataFrame, k: int, col: str = "query", canonical: bool
     return rows.select(codec.encode(codec.canonical_text(F.col("q")) if canonical else F.col("q")).alias("code")).distinct()
 
 
+def queries_from_set(s: KmerSet, wanted: KmerMeta | None = None) -> DataFrame:
+    """(code [, taxid]) of a k-mer set as queries; with the meta of what is searched, its kind is checked, and plain codes are made canonical."""
+    if wanted is not None and (s.meta.k != wanted.k or s.meta.hashed != wanted.hashed):
+        raise ValueError("queries and k-mers differ in k or hashing")
+    code = F.col("code") if s.meta.canonical or s.meta.hashed else codec.canonical(F.col("code"), s.meta.k)
+    return s.df.withColumn("code", code).select("code", *["taxid"] * s.has_taxid).distinct()
+
+
+def grep_table(table: SetTable, queries: DataFrame, invert: bool = False, taxid: bool = False, mode: str = "plain") -> SetTable:
+    """grep() of every set of a table for itself; what is left keeps its set_id, so that write_sets() gives an output for each input.
+
+    unique and repeated count within a set.
+    """
+    df = table.df
+    if not taxid and not table.meta.canonical and not table.meta.hashed:
+        df = df.withColumn("code", codec.canonical(F.col("code"), table.meta.k))
+    key = "taxid" if taxid else "code"
+    out = df.join(queries.select(key).distinct(), key, "left_anti" if invert else "left_semi").select(*df.columns)
+    if mode != "plain":
+        out = out.groupBy("set_id", "code").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in out.columns if c not in ("set_id", "code")])
+        out = (out if mode == "unique" else out.where("n > 1")).drop("n")
+    return SetTable(out, replace(table.meta, canonical=True, sorted=False))
+
+
 def grep(s: KmerSet, queries: DataFrame, invert: bool = False, taxid: bool = False, mode: str = "plain", sort: bool = False) -> KmerSet:
     """Rows whose code (or taxid) is among the queries, or not with invert.
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.meta import KmerSet, check_compatible
+from strandset.meta import KmerSet, SetTable, check_compatible
 from strandset.operators.taxonomy import Taxonomy
 
 
+#: The most sets that can be combined.
+MOST_SETS = 65_535
+
+
 def stacked(sets: list[KmerSet], taxid: bool) -> DataFrame:
     """All rows with source, the number of their set."""
     columns = ["code"] + ["taxid"] * taxid
@@ -37,14 +42,71 @@ def common(sets: list[KmerSet], at_least: int | None = None, proportion: float =
     taxed = taxonomy is not None and any(s.has_taxid for s in sets)
     if at_least <= 1 and not taxed:
         return KmerSet(stacked(sets, False).select("code").distinct(), meta)
-    rows, n = stacked(sets, taxed), F.count_distinct("source").alias("n")
-    if taxed:  # one row for each code and set first, so that the ancestor and the count are plain aggregates
-        once = taxonomy.lca(rows, ["code", "source"])
-        found = taxonomy.lca(once, ["code"], F.count(F.lit(1)).alias("n"))
+    return KmerSet(_in_many(stacked(sets, taxed), len(sets), at_least, taxonomy if taxed else None), meta)
+
+
+#: Up to so many sets, which of them hold a k-mer is told by bits, 64 a column, in one aggregate.
+BIT_SETS = 512
+
+
+def _bits(total: int) -> list[Column]:
+    """For each 64 of the sets, the bits of those among them that hold the k-mer."""
+    bit = lambda k: F.when(F.col("source").between(64 * k, 64 * k + 63), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("source") - 64 * k).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return [F.bit_or(bit(k)).alias(f"bits{k}") for k in range(-(-total // 64))]
+
+
+def _in_many(rows: DataFrame, total: int, at_least: int, taxonomy: Taxonomy | None) -> DataFrame:
+    """(code [, taxid]) of the codes that at least so many sources (0 to total - 1) have."""
+    few = total <= BIT_SETS
+    if few:
+        have = _bits(total) if at_least > 1 else []
+        enough = reduce(lambda a, b: a + b, [F.bit_count(f"bits{k}") for k in range(len(have))], F.lit(0)) >= (at_least if have else 0)
     else:
-        found = rows.distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    del n
-    return KmerSet(found.where(F.col("n") >= at_least).drop("n"), meta)
+        have, enough = [F.count_distinct("source").alias("n")], F.col("n") >= at_least
+    if taxonomy is None:
+        if few:
+            return (rows.groupBy("code").agg(*have) if have else rows.select("code").distinct()).where(enough).select("code")
+        return rows.select("code", "source").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(enough).select("code")
+    bounds = taxonomy.bounded(rows).groupBy("code").agg(F.min("tin").alias("lo"), F.max("tin").alias("hi"), *have).where(enough)
+    return taxonomy.resolved(bounds.select("code", "lo", "hi"))
+
+
+def common_of(table: SetTable, at_least: int | None = None, proportion: float = 1.0, taxonomy: Taxonomy | None = None, sets: list[str] | None = None) -> KmerSet:
+    """common() of all sets of a table, however many, by one aggregate. sets names them, if some may be empty; else the table is asked."""
+    table, names = _numbered_sets(table, sets)
+    if at_least is None:
+        if not 0 < proportion <= 1:
+            raise ValueError("proportion must be above 0 and at most 1")
+        at_least = max(1, int(len(names) * proportion))
+    taxed = taxonomy if taxonomy is not None and table.has_taxid else None
+    return KmerSet(_in_many(table.df, len(names), at_least, taxed), replace(table.meta, sorted=False, global_taxid=None))
+
+
+def union_of(table: SetTable, taxonomy: Taxonomy | None = None) -> KmerSet:
+    return common_of(table, 1, taxonomy=taxonomy)
+
+
+def inter_of(table: SetTable, taxonomy: Taxonomy | None = None, sets: list[str] | None = None) -> KmerSet:
+    return common_of(table, proportion=1.0, taxonomy=taxonomy, sets=sets)
+
+
+def diff_of(table: SetTable, first: str) -> KmerSet:
+    """K-mers of the set first that no other set of the table has, each once, by one aggregate; taxids are left out."""
+    own = F.col("set_id").eqNullSafe(F.lit(first))
+    found = table.df.groupBy("code").agg(F.bool_and(own).alias("alone")).where("alone").select("code")
+    return KmerSet(found, replace(table.meta, sorted=False, global_taxid=None))
+
+
+def _numbered_sets(table: SetTable, sets: list[str] | None) -> tuple[SetTable, list[str]]:
+    """The table with source, the number of each set, and the sets' names; at most MOST_SETS names reach the driver."""
+    names = sets if sets is not None else [x["set_id"] for x in table.df.select("set_id").distinct().limit(MOST_SETS + 1).collect()]
+    if len(names) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} sets")
+    spark = table.df.sparkSession
+    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "set_id string, source int")
+    table_of = table.df.withColumn("set_id", F.col("set_id").cast("string"))
+    rows = table_of.join(F.broadcast(numbers), table_of["set_id"].eqNullSafe(numbers["set_id"])).drop("set_id")
+    return SetTable(rows, table.meta), names
 
 
 def union(sets: list[KmerSet], taxonomy: Taxonomy | None = None) -> KmerSet:
@@ -58,12 +120,12 @@ def inter(sets: list[KmerSet], taxonomy: Taxonomy | None = None, mix_taxid: bool
 def diff(first: KmerSet, rest: list[KmerSet], taxonomy: Taxonomy | None = None) -> KmerSet:
     """K-mers of the first set that no other has, each once.
 
-    With a taxonomy, and taxids in all sets, another set's k-mer takes one away only if its taxid is neither equal
+    Without a taxonomy a k-mer of several taxids keeps the smallest. With a taxonomy, and taxids in all sets, another set's k-mer takes one away only if its taxid is neither equal
     nor below the first set's taxid for it. Without taxids the taxonomy is ignored.
     """
     meta = check_compatible([first, *rest], mix_taxid=taxonomy is None)
     taxed = taxonomy is not None and first.has_taxid and all(s.has_taxid for s in rest)
-    own = (taxonomy.lca(first.df, ["code"]) if taxonomy is not None and first.has_taxid else first.df.dropDuplicates(["code"])) if first.has_taxid else first.df.select("code").distinct()
+    own = (taxonomy.lca(first.df, ["code"]) if taxonomy is not None and first.has_taxid else first.df.groupBy("code").agg(F.min("taxid").alias("taxid"))) if first.has_taxid else first.df.select("code").distinct()
     own = own.select("code", *["taxid"] * first.has_taxid)
     if not rest:
         return KmerSet(own, meta)

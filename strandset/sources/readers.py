@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.functions import codec
-from strandset.meta import KmerMeta, KmerSet
+from strandset.functions import sequence as S
+from strandset.meta import KmerMeta, KmerSet, SetTable, check_metas
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than there are cores, dealt to all of them: a file may be one piece, and sequences grow to many k-mers."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
 
 RECORD = "file string, rec_no long, id string, name string, seq string, qual string"
 
@@ -64,8 +72,9 @@ def read_fastx(spark: SparkSession, path: str, glob: str | None = None) -> DataF
                             i += 1
                         i += 1
                         need = sum(map(len, seq))
-                        while i < len(lines) and sum(map(len, qual)) < need:
+                        while i < len(lines) and need > 0:
                             qual.append(lines[i].strip())
+                            need -= len(qual[-1])
                             i += 1
                         out.append((name, len(out), head, "".join(seq), "".join(qual)))
                     else:
@@ -82,19 +91,48 @@ def read_fastx(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "content").mapInArrow(run, RECORD)
 
 
-def read_kmers(spark: SparkSession, path: str, k: int, hashed: bool = False, to_canonical: bool = False, only_canonical: bool = False, unique: bool = False, global_taxid: int | None = None) -> KmerSet:
+def read_kmers(spark: SparkSession, path: str, k: int, hashed: bool = False, to_canonical: bool = False, only_canonical: bool = False, unique: bool = False, global_taxid: int | None = None, hash_text: bool = False) -> KmerSet:
     """K-mer text (kmer or kmer<tab>taxid a line), or hash numbers; blank lines are skipped, another length is an error."""
     rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.split("value", "\t").alias("p"))
     taxid = F.try_element_at("p", F.lit(2)).cast("long")
-    return dump(rows.select(F.trim(F.col("p")[0]).alias("kmer"), taxid.alias("taxid")), k, hashed, to_canonical, only_canonical, unique, global_taxid)
+    return dump(rows.select(F.trim(F.col("p")[0]).alias("kmer"), taxid.alias("taxid")), k, hashed, to_canonical, only_canonical, unique, global_taxid, hash_text)
 
 
-def dump(df: DataFrame, k: int, hashed: bool = False, to_canonical: bool = False, only_canonical: bool = False, unique: bool = False, global_taxid: int | None = None) -> KmerSet:
-    """(kmer [, taxid]) as a k-mer set. A taxid of a row comes before the global one; unique keeps the smallest taxid of a k-mer."""
+def hash_texts(df: DataFrame, k: int, col: str = "kmer") -> DataFrame:
+    """df with code, the canonical hash of the k-mer text; texts of another length or with other letters than A, C, G, T are an error."""
+    schema, columns = df.withColumn("code", F.lit(0).cast("long")).schema, df.columns
+    at = columns.index(col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()]
+            if any(len(t) != k for t in texts):
+                raise ValueError(f"k-mer is not of length {k}: {next(t for t in texts if len(t) != k)!r}")
+            base = S.bases(b"".join(texts))
+            if (base > 3).any():
+                raise ValueError("k-mer with a letter other than A, C, G, T")
+            code = S.nthash(base, k)[::k] if texts else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64))], names=[*columns, "code"])
+
+    return df.mapInArrow(run, schema)
+
+
+def dump(df: DataFrame, k: int, hashed: bool = False, to_canonical: bool = False, only_canonical: bool = False, unique: bool = False, global_taxid: int | None = None, hash_text: bool = False) -> KmerSet:
+    """(kmer [, taxid]) as a k-mer set. A taxid of a row comes before the global one; unique keeps the smallest taxid of a k-mer.
+
+    hashed tells that kmer holds numbers; hash_text hashes the texts, as for more than 32 bases always.
+    """
+    hash_text = hash_text or k > 32 and not hashed
+    if hashed and hash_text:
+        raise ValueError("what is hashed is no text to hash")
+    if hash_text and (to_canonical or only_canonical):
+        raise ValueError("hashes are canonical already")
     if hashed and only_canonical or to_canonical and only_canonical:
         raise ValueError("only_canonical goes with neither hashes nor to_canonical")
     if hashed:
         code = F.conv("kmer", 10, -10).cast("long")
+    elif hash_text:
+        df, code = hash_texts(df.withColumn("kmer", F.upper("kmer")), k), F.col("code")
     else:
         text = F.upper("kmer")
         text = F.when(F.length(text) == k, text).otherwise(F.raise_error(F.concat(F.lit(f"k-mer is not of length {k}: "), text)))
@@ -109,7 +147,7 @@ def dump(df: DataFrame, k: int, hashed: bool = False, to_canonical: bool = False
     out = df.select(*columns)
     if unique:
         out = out.groupBy("code").agg(F.min("taxid").alias("taxid")) if len(columns) > 1 else out.distinct()
-    return KmerSet(out, KmerMeta(k, hashed or to_canonical or only_canonical, hashed, global_taxid=global_taxid))
+    return KmerSet(out, KmerMeta(k, hashed or hash_text or to_canonical or only_canonical, hashed or hash_text, global_taxid=global_taxid))
 
 
 def read_taxdump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None]:
@@ -129,5 +167,26 @@ def write_set(s: KmerSet, path: str, mode: str = "error") -> None:
     s.df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
 
+def write_sets(table: SetTable, path: str, mode: str = "error") -> None:
+    """The sets of a table below one folder, as read_sets() reads them; a set with one taxid throughout has it as its global taxid."""
+    rows, spark = table.df, table.df.sparkSession
+    rows.sortWithinPartitions("set_id", "code").write.mode(mode).option("compression", "zstd").partitionBy("set_id").parquet(f"{path}/rows")
+    about = rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("number"), *([F.min("taxid").alias("least"), F.max("taxid").alias("most")] if table.has_taxid else []))
+    one = F.when(F.col("least") == F.col("most"), F.col("least")) if table.has_taxid else F.lit(None).cast("long")
+    kind = [F.lit(getattr(table.meta, f)).alias(f) for f in ("k", "canonical", "hashed", "scale", "sorted", "description")]
+    about.select("set_id", "number", one.alias("global_taxid"), *kind).write.mode(mode).parquet(f"{path}/about")
+
+
+def read_sets(spark: SparkSession, path: str, pattern: str | None = None) -> SetTable:
+    """All sets below a folder, or those whose names match a regular expression, as one table; sets of different kinds are an error."""
+    about = spark.read.parquet(f"{path}/about")
+    rows = spark.read.parquet(f"{path}/rows").withColumn("set_id", F.col("set_id").cast("string"))
+    if pattern is not None:
+        about, rows = about.where(F.col("set_id").rlike(pattern)), rows.where(F.col("set_id").rlike(pattern))
+    kinds = about.select("k", "canonical", "hashed", "scale").distinct().limit(1000).collect()
+    meta = check_metas([KmerMeta(r["k"], r["canonical"], r["hashed"], r["scale"]) for r in kinds])
+    return SetTable(rows.select("set_id", *[c for c in rows.columns if c != "set_id"]), meta)
+
+
 def read_set(spark: SparkSession, path: str) -> KmerSet:
     return KmerSet(spark.read.parquet(f"{path}/rows"), KmerMeta(**json.loads(spark.read.text(f"{path}/meta").first()[0])))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions import codec
-from strandset.meta import KmerSet
+from strandset.meta import KmerSet, SetTable
 from strandset.operators.count import kmers
 
 
@@ -53,15 +55,42 @@ def num(df: DataFrame, *set_cols: str) -> DataFrame:
     return df.groupBy(*set_cols).agg(F.count(F.lit(1)).alias("number"))
 
 
-def info(sets: dict[str, KmerSet], number: bool = True) -> DataFrame:
-    """A row for each set with what is known of it, in the order given."""
-    spark = next(iter(sets.values())).df.sparkSession
-    rows = [(i, name, s.meta.k, s.meta.canonical, s.meta.hashed, s.meta.scale, s.has_taxid, s.meta.global_taxid, s.meta.sorted, s.meta.description) for i, (name, s) in enumerate(sets.items())]
-    out = spark.createDataFrame(rows, "at int, file string, k int, canonical boolean, hashed boolean, scaled long, include_taxid boolean, global_taxid long, sorted boolean, description string")
-    if number:
-        counts = None
-        for i, s in enumerate(sets.values()):
-            one = s.df.agg(F.count(F.lit(1)).alias("number")).withColumn("at", F.lit(i))
-            counts = one if counts is None else counts.union(one)
-        out = out.join(counts, "at")
-    return out.orderBy("at").drop("at")
+def info(sets: dict[str, KmerSet] | SetTable, number: bool = True, basename: bool = False, symbols: tuple[str, str] | None = None, skip_errors: bool = False) -> DataFrame:
+    """A row for each set with what is known of it, in the order given, those of a table by name.
+
+    Numbers come from one aggregate over all sets. basename cuts folders off the names, symbols replace true and false;
+    skip_errors leaves out sets that cannot be read instead of raising.
+    """
+    if isinstance(sets, SetTable):
+        m = sets.meta
+        taxid = (F.when(F.min("taxid") == F.max("taxid"), F.min("taxid")) if sets.has_taxid else F.max(F.lit(None))).cast("long").alias("global_taxid")
+        out = sets.df.groupBy(F.col("set_id").cast("string").alias("file")).agg(F.count(F.lit(1)).alias("number"), taxid)
+        known = {"k": m.k, "canonical": m.canonical, "hashed": m.hashed, "include_taxid": sets.has_taxid, "sorted": m.sorted, "description": m.description}
+        out = out.withColumns({c: F.lit(v) for c, v in known.items()} | {"scaled": F.lit(m.scale).cast("long")})
+        out = out.select("file", "k", "canonical", "hashed", "scaled", "include_taxid", "global_taxid", "sorted", "description", *["number"] * number).orderBy("file")
+    else:
+        readable = {}
+        for name, s in sets.items():
+            try:
+                s.df.schema
+            except Exception:  # noqa: BLE001
+                if not skip_errors:
+                    raise
+            else:
+                readable[name] = s
+        if not readable:
+            raise ValueError("no k-mer sets that can be read")
+        spark = next(iter(readable.values())).df.sparkSession
+        rows = [(i, name, s.meta.k, s.meta.canonical, s.meta.hashed, s.meta.scale, s.has_taxid, s.meta.global_taxid, s.meta.sorted, s.meta.description) for i, (name, s) in enumerate(readable.items())]
+        out = spark.createDataFrame(rows, "at int, file string, k int, canonical boolean, hashed boolean, scaled long, include_taxid boolean, global_taxid long, sorted boolean, description string")
+        if number:
+            marked = reduce(DataFrame.union, [s.df.select(F.lit(i).alias("at")) for i, s in enumerate(readable.values())])
+            counts = marked.groupBy("at").agg(F.count(F.lit(1)).alias("number"))
+            out = out.join(counts, "at", "left").withColumn("number", F.coalesce("number", F.lit(0).cast("long")))
+        out = out.orderBy("at").drop("at")
+    if basename:
+        out = out.withColumn("file", F.regexp_extract("file", "([^/]*)/*$", 1))
+    if symbols:
+        yes, no = symbols
+        out = out.withColumns({c: F.when(F.col(c), F.lit(yes)).otherwise(F.lit(no)) for c in ("canonical", "hashed", "include_taxid", "sorted")})
+    return out
