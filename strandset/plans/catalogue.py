@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.functions import codec
-from strandset.meta import KmerMeta, KmerSet
+from strandset.functions import sequence as S
+from strandset.meta import KmerMeta, KmerSet, SetTable
 from strandset.operators import ordering, search, setops
-from strandset.operators.count import count, kmers, name_filter, parse_taxid
+from strandset.operators.count import count, name_filter, parse_taxid, set_table
 from strandset.operators.taxonomy import Taxonomy
-from strandset.sources.readers import dump
+from strandset.sources.readers import dump, hash_texts, spread
 from strandset.sources.writers import info, num, view
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -43,12 +44,16 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     seq = F.regexp_replace(F.translate("text", LETTERS, CYCLE), "[^ACGT]", "")
-    return read(spark, d, "documents").select("doc_id", "source", F.concat_ws(" ", "source", "lang").alias("name"), seq.alias("seq"))
+    return spread(read(spark, d, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", F.concat_ws(" ", "source", "lang").alias("name"), seq.alias("seq"))
 
 
-def of_source(spark: SparkSession, d: str, *sources: str) -> list[KmerSet]:
-    rows = sequences(spark, d)
-    return [count(rows.where(F.col("source") == s), K, canonical=True) for s in sources]
+def by_source(spark: SparkSession, d: str) -> SetTable:
+    """Every source is a set."""
+    return set_table(sequences(spark, d), K, "source", canonical=True)
+
+
+def sources(spark: SparkSession, d: str) -> list[str]:
+    return [r["source"] for r in read(spark, d, "documents").select("source").distinct().limit(setops.MOST_SETS).collect()]
 
 
 def items(spark: SparkSession, d: str, flag: str | None = None, taxid: bool = True) -> KmerSet:
@@ -57,19 +62,29 @@ def items(spark: SparkSession, d: str, flag: str | None = None, taxid: bool = Tr
     return KmerSet(rows.select(F.col("l_partkey").alias("code"), *[(F.col("l_suppkey") + 1000).alias("taxid")] * taxid), KmerMeta(K8))
 
 
+def suppliers(spark: SparkSession, d: str) -> SetTable:
+    """Every supplier is a set: many sets."""
+    return SetTable(read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("set_id"), F.col("l_partkey").alias("code")), KmerMeta(K8))
+
+
 def taxonomy(spark: SparkSession, d: str) -> Taxonomy:
     node = lambda a, b, rank: [a.cast("long").alias("taxid"), b.cast("long").alias("parent"), F.lit(rank).alias("rank")]
     nation = read(spark, d, "nation")
     nodes = spark.range(1).select(*node(F.lit(1), F.lit(1), "no rank"))
     nodes = nodes.union(read(spark, d, "region").select(*node(F.col("r_regionkey") + 10, F.lit(1), "superkingdom")))
     nodes = nodes.union(nation.select(*node(F.col("n_nationkey") + 100, F.col("n_regionkey") + 10, "family")))
-    return Taxonomy(nodes.union(read(spark, d, "supplier").select(*node(F.col("s_suppkey") + 1000, F.col("s_nationkey") + 100, "species"))), rounds=3)
+    return Taxonomy(nodes.union(read(spark, d, "supplier").select(*node(F.col("s_suppkey") + 1000, F.col("s_nationkey") + 100, "species"))))
+
+
+def flags(spark: SparkSession, d: str) -> SetTable:
+    """Every return flag is a set."""
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("set_id"), F.col("l_partkey").alias("code"), (F.col("l_suppkey") + 1000).alias("taxid"))
+    return SetTable(rows, KmerMeta(K8))
 
 
 def member_set(spark: SparkSession, d: str) -> KmerSet:
     """Canonical k-mers of documents of at least 15 sources, by one aggregate over sets."""
-    found = count(sequences(spark, d), K, set_cols=("source",), canonical=True)
-    return found.with_df(found.df.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n >= 15").select("code"))
+    return setops.common_of(by_source(spark, d), 15, sets=sources(spark, d))
 
 
 SEQS = f"seqs AS (SELECT doc_id, source, source || ' ' || lang AS name, regexp_replace(translate(text, '{LETTERS}', '{CYCLE}'), '[^ACGT]', '', 'g') AS seq FROM documents)"
@@ -118,7 +133,7 @@ def count_repeated(spark, d):
 @query(f"""WITH {KM}, c AS (SELECT doc_id, pos, {sql_code('kmer')} AS code FROM km)
 SELECT doc_id, count(*) AS n, min_by(code, pos) AS first_code, max_by(code, pos) AS last_code, CAST(sum(code * (pos % 97)) AS BIGINT) AS walk FROM c GROUP BY doc_id""")
 def count_linear(spark, d):
-    rows = count(sequences(spark, d), K, mode="linear").df
+    rows = count(sequences(spark, d), K, mode="linear", row_cols=("doc_id",)).df
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("code", "pos").alias("first_code"), F.max_by("code", "pos").alias("last_code"), F.sum(F.col("code") * (F.col("pos") % 97)).alias("walk"))
 
 
@@ -140,22 +155,52 @@ def count_circular(spark, d):
     return num(count(sequences(spark, d), K, set_cols=("doc_id",), circular=True).df, "doc_id")
 
 
-@query()
+def _rotated(value: int, by: int) -> int:
+    by %= 64
+    return (value << by | value >> 64 - by) & (1 << 64) - 1
+
+
+def sql_hash(e: str, k: int) -> str:
+    """The canonical hash of a text of k bases as UBIGINT: for each strand the exclusive or of seeds turned by their distance from the strand's end."""
+    def strand(seeds, turn):
+        out = "0::UBIGINT"
+        for j in range(k):
+            cases = " ".join(f"WHEN '{c}' THEN {_rotated(int(seed), turn(j))}::UBIGINT" for c, seed in zip("ACGT", seeds))
+            out = f"xor({out}, CASE substr({e}, {j + 1}, 1) {cases} END)"
+        return out
+
+    seeds = S.SEEDS[:4].tolist()
+    return f"least({strand(seeds, lambda j: k - 1 - j)}, {strand(seeds[::-1], lambda j: j)})"
+
+
+def sql_signed(e: str) -> str:
+    return f"CAST(CASE WHEN {e} > 9223372036854775807 THEN {e}::HUGEINT - 18446744073709551616 ELSE {e}::HUGEINT END AS BIGINT)"
+
+
+def sql_hashes(k: int, more: str = "") -> str:
+    """h: doc_id, source, i (from 1), the k-mer and its hash h."""
+    return f"{SEQS}, windows AS (SELECT doc_id, source, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM seqs), texts AS (SELECT doc_id, source, i, substr(seq, i, {k}) AS kmer FROM windows), h AS (SELECT doc_id, source, i, kmer, {sql_hash('kmer', k)} AS h FROM texts){more}"
+
+
+@query(f"WITH {sql_hashes(23)} SELECT DISTINCT source, {sql_signed('h')} AS code FROM h")
 def hash_kmers(spark, d):
     return count(sequences(spark, d), 23, set_cols=("source",), hashed=True).df
 
 
-@query()
+@query(f"WITH {sql_hashes(31)} SELECT DISTINCT source, {sql_signed('h')} AS code FROM h WHERE h <= {int(float((1 << 64) - 1) / 15)}::UBIGINT")
 def sketch_scaled(spark, d):
     return count(sequences(spark, d), 31, set_cols=("source",), scale=15).df
 
 
-@query()
+@query(f"""WITH {sql_hashes(31)}, m AS (SELECT source, min(h) OVER w AS h, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING))
+SELECT DISTINCT source, {sql_signed('h')} AS code FROM m WHERE n = 15""")
 def sketch_minimizer(spark, d):
     return count(sequences(spark, d), 31, set_cols=("source",), minimizer=15).df
 
 
-@query()
+@query(f"""WITH {sql_hashes(31)}, parts AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 16 + 2)) AS i FROM seqs), small AS (SELECT doc_id, i, {sql_hash('substr(seq, i, 16)', 16)} AS s FROM parts),
+w AS (SELECT doc_id, i, s AS a, last_value(s) OVER o AS z, min(s) OVER o AS least, count(*) OVER o AS n FROM small WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING))
+SELECT DISTINCT source, {sql_signed('h')} AS code FROM h JOIN w USING (doc_id, i) WHERE n = 16 AND (a = least OR z = least)""")
 def sketch_syncmer(spark, d):
     return count(sequences(spark, d), 31, set_cols=("source",), syncmer=16).df
 
@@ -174,6 +219,14 @@ def info_sets(spark, d):
     return info({f: items(spark, d, f) for f in "ANR"}).drop("global_taxid")
 
 
+@query("""SELECT l_returnflag AS file, 'no' AS canonical, 'no' AS hashed, 'yes' AS include_taxid, 'no' AS sorted, CASE WHEN min(l_suppkey) = max(l_suppkey) THEN 'one' ELSE 'none' END AS global_taxid, count(*) AS number
+FROM lineitem GROUP BY 1""")
+def info_table(spark, d):
+    found = info(flags(spark, d), symbols=("yes", "no"), basename=True)
+    one = F.when(F.col("global_taxid").isNotNull(), F.lit("one")).otherwise(F.lit("none")).alias("global_taxid")
+    return found.select("file", "canonical", "hashed", "include_taxid", "sorted", one, "number")
+
+
 CODES = "c AS (SELECT DISTINCT l_partkey AS code FROM lineitem)"
 
 
@@ -192,7 +245,11 @@ def view_fastq(spark, d):
     return view(setops.union([items(spark, d, taxid=False)]), "fastq")
 
 
-@query()
+@query(f"""WITH {sql_hashes(23)}, kept AS (SELECT DISTINCT h FROM h WHERE h <= {int(float((1 << 64) - 1) / 50)}::UBIGINT),
+ring AS (SELECT doc_id, seq || substr(seq, 1, 22) AS seq FROM seqs WHERE length(seq) >= 23), turn AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 23 + 2)) AS i FROM ring),
+every AS (SELECT doc_id, i, kmer, {sql_hash('kmer', 23)} AS h FROM (SELECT doc_id, i, substr(seq, i, 23) AS kmer FROM turn)),
+named AS (SELECT h, kmer, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS place FROM every JOIN kept USING (h))
+SELECT kmer, CAST(h AS VARCHAR) AS code FROM named WHERE place = 1""")
 def view_hashed_genome(spark, d):
     rows = sequences(spark, d)
     return view(count(rows, 23, hashed=True, scale=50), "kmer_code", rows, id_cols=("doc_id",))
@@ -215,6 +272,16 @@ def dump_unique(spark, d):
     return dump(kmer_text(spark, d), K8, to_canonical=True, unique=True).df
 
 
+@query(f"WITH {TEXT} SELECT DISTINCT {sql_signed(sql_hash('kmer', K8))} AS code FROM t")
+def dump_hash_text(spark, d):
+    return dump(kmer_text(spark, d).select("kmer"), K8, hash_text=True, unique=True).df
+
+
+@query(f"WITH {TEXT}, u AS (SELECT DISTINCT kmer FROM t) SELECT kmer, CAST({sql_hash('kmer', K8)} AS VARCHAR) AS code FROM u")
+def encode_hash(spark, d):
+    return hash_texts(kmer_text(spark, d).select("kmer").distinct(), K8).select("kmer", codec.unsigned_text(F.col("code")).alias("code"))
+
+
 @query(f"""WITH p AS (SELECT DISTINCT {sql_kmer('l_partkey')} AS kmer FROM lineitem), q AS (SELECT kmer, least(kmer, {RC.format('kmer')}) AS parsed FROM p)
 SELECT kmer, parsed, CAST({sql_code('parsed', K8)} AS VARCHAR) AS code, replace(replace(replace(replace(parsed, 'A', '00'), 'C', '01'), 'G', '10'), 'T', '11') AS bits FROM q""")
 def encode_all(spark, d):
@@ -231,23 +298,19 @@ def decode_all(spark, d):
 # -- set algebra --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT l_partkey AS code, l_suppkey + 1000 AS taxid FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@query("SELECT l_partkey AS code, l_suppkey + 1000 AS taxid FROM lineitem")
 def concat_sets(spark, d):
-    return setops.concat([items(spark, d, "A"), items(spark, d, "R")]).df
+    return setops.concat([items(spark, d, f) for f in "ANR"]).df
 
 
-@query("SELECT l_partkey AS code, CAST(7 AS BIGINT) AS taxid FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@query("SELECT l_partkey AS code, CAST(7 AS BIGINT) AS taxid FROM lineitem")
 def concat_global_taxid(spark, d):
-    return setops.concat([items(spark, d, "A"), items(spark, d, "R")], global_taxid=7).df
+    return setops.concat([items(spark, d, f) for f in "ANR"], global_taxid=7).df
 
 
-THREE = ("src1", "src2", "src3")
-S3 = " {0} ".join(f"SELECT can FROM km WHERE source = '{s}'" for s in THREE)
-
-
-@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM ({S3.format('INTERSECT')})")
+@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM km GROUP BY can HAVING count(DISTINCT source) = (SELECT count(DISTINCT source) FROM documents)")
 def inter_sets(spark, d):
-    return setops.inter(of_source(spark, d, *THREE)).df
+    return setops.inter_of(by_source(spark, d), sets=sources(spark, d)).df
 
 
 @query(f"WITH {TX}, {IT} SELECT code, {LCA} AS taxid FROM it GROUP BY code HAVING count(DISTINCT f) = 3")
@@ -255,14 +318,19 @@ def inter_lca(spark, d):
     return setops.inter([items(spark, d, f) for f in "ANR"], taxonomy(spark, d)).df
 
 
-@query(f"WITH {TX}, {IT}, x AS (SELECT * FROM it WHERE f = 'A' AND code IN (SELECT code FROM it WHERE f = 'R')) SELECT code, {LCA} AS taxid FROM x GROUP BY code")
+@query(f"WITH {TX}, {IT}, x AS (SELECT * FROM it WHERE f = 'A' AND code IN (SELECT code FROM it WHERE f = 'R') AND code IN (SELECT code FROM it WHERE f = 'N')) SELECT code, {LCA} AS taxid FROM x GROUP BY code")
 def inter_mix_taxid(spark, d):
-    return setops.inter([items(spark, d, "R", taxid=False), items(spark, d, "A")], taxonomy(spark, d), mix_taxid=True).df
+    return setops.inter([items(spark, d, "R", taxid=False), items(spark, d, "N", taxid=False), items(spark, d, "A")], taxonomy(spark, d), mix_taxid=True).df
 
 
-@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM (SELECT DISTINCT source, can FROM km WHERE source IN {THREE}) GROUP BY can HAVING count(*) >= 2")
+@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM km GROUP BY can HAVING count(DISTINCT source) >= 2")
 def common_n(spark, d):
-    return setops.common(of_source(spark, d, *THREE), 2).df
+    return setops.common_of(by_source(spark, d), 2, sets=sources(spark, d)).df
+
+
+@query("SELECT l_partkey AS code FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 3")
+def common_many_sets(spark, d):
+    return setops.common_of(suppliers(spark, d), 3).df
 
 
 @query(f"WITH {TX}, {IT} SELECT code, {LCA} AS taxid FROM it GROUP BY code HAVING count(DISTINCT f) >= 2")
@@ -270,9 +338,9 @@ def common_proportion(spark, d):
     return setops.common([items(spark, d, f) for f in "ANR"], proportion=0.7, taxonomy=taxonomy(spark, d)).df
 
 
-@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM ({S3.format('UNION')})")
+@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM (SELECT DISTINCT can FROM km)")
 def union_sets(spark, d):
-    return setops.union(of_source(spark, d, *THREE)).df
+    return setops.common_of(by_source(spark, d), 1, sets=sources(spark, d)).df
 
 
 @query(f"WITH {TX}, {IT} SELECT code, {LCA} AS taxid FROM it GROUP BY code")
@@ -280,16 +348,15 @@ def union_lca(spark, d):
     return setops.union([items(spark, d, f) for f in "ANR"], taxonomy(spark, d)).df
 
 
-@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM ({S3.format('EXCEPT')})")
+@query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM km GROUP BY can HAVING bool_and(source = 'src1')")
 def diff_sets(spark, d):
-    first, *rest = of_source(spark, d, *THREE)
-    return setops.diff(first, rest).df
+    return setops.diff_of(by_source(spark, d), "src1").df
 
 
 @query(f"""WITH {TX}, {IT}, q AS (SELECT code, {LCA} AS q FROM it WHERE f = 'A' GROUP BY code),
-gone AS (SELECT DISTINCT code FROM q JOIN it USING (code) WHERE f = 'R' AND q NOT IN (s, n, r, 1)) SELECT code, q AS taxid FROM q WHERE code NOT IN (SELECT code FROM gone)""")
+gone AS (SELECT DISTINCT code FROM q JOIN it USING (code) WHERE f IN ('N', 'R') AND q NOT IN (s, n, r, 1)) SELECT code, q AS taxid FROM q WHERE code NOT IN (SELECT code FROM gone)""")
 def diff_compare_taxid(spark, d):
-    return setops.diff(items(spark, d, "A"), [items(spark, d, "R")], taxonomy(spark, d)).df
+    return setops.diff(items(spark, d, "A"), [items(spark, d, "N"), items(spark, d, "R")], taxonomy(spark, d)).df
 
 
 # -- order --------------------------------------------------------------------------------------------------------------
@@ -317,17 +384,27 @@ def split_chunks(spark, d):
 
 @query("SELECT l_suppkey + 1000 AS taxid, count(DISTINCT l_partkey) AS number FROM lineitem GROUP BY 1")
 def tsplit_counts(spark, d):
-    return num(items(spark, d).df.distinct(), "taxid")
+    return num(ordering.tsplit(items(spark, d)).df, "taxid")
+
+
+@query("SELECT DISTINCT 'part-' || (l_suppkey + 1000) || '.k8' AS set_id, l_partkey AS code, l_suppkey + 1000 AS taxid FROM lineitem")
+def tsplit_sets(spark, d):
+    return ordering.tsplit(items(spark, d), "part").df
 
 
-@query("SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@query("SELECT DISTINCT l_partkey AS code FROM lineitem")
 def merge_unique(spark, d):
-    return ordering.merge([items(spark, d, f, False) for f in "AR"], "unique").df
+    return ordering.merge([items(spark, d, f, False) for f in "ANR"], "unique").df
 
 
-@query("SELECT l_partkey AS code FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT l_partkey AS code FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def merge_repeated(spark, d):
-    return ordering.merge([items(spark, d, f, False) for f in "AR"], "repeated").df
+    return ordering.merge([items(spark, d, f, False) for f in "ANR"], "repeated").df
+
+
+@query("SELECT l_partkey AS code FROM lineitem")
+def merge_many_sets(spark, d):
+    return ordering.merge_table(suppliers(spark, d)).df
 
 
 @query("SELECT l_partkey AS code, l_suppkey + 1000 AS taxid FROM lineitem ORDER BY 1, 2 LIMIT 25")
@@ -337,7 +414,7 @@ def head_n(spark, d):
 
 @query(f"WITH {KM}, j AS (SELECT source, doc_id, pos, kmer, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS j FROM km) SELECT source, doc_id, pos, {sql_code('kmer')} AS code FROM j WHERE j >= 5 AND (j - 5) % 500 = 0")
 def sample_window(spark, d):
-    rows = count(sequences(spark, d), K, mode="linear", set_cols=("source",)).df
+    rows = count(sequences(spark, d), K, mode="linear", set_cols=("source",), row_cols=("doc_id",)).df
     return ordering.sample(rows, 5, 500, "source", ("doc_id", "pos")).select("source", "doc_id", "pos", "code")
 
 
@@ -361,7 +438,23 @@ def grep_degenerate(spark, d):
 @query(f"WITH {KM} SELECT {sql_code('can')} AS code FROM (SELECT can FROM km WHERE source = 'src1' EXCEPT SELECT can FROM km WHERE source <> 'src1')")
 def grep_invert(spark, d):
     rows = sequences(spark, d)
-    return search.grep(*of_source(spark, d, "src1"), count(rows.where("source <> 'src1'"), K, canonical=True).df, invert=True).df
+    own, others = (count(rows.where(w), K, canonical=True) for w in ("source = 'src1'", "source <> 'src1'"))
+    return search.grep(own, search.queries_from_set(others, own.meta), invert=True).df
+
+
+@query(f"""WITH q AS (SELECT DISTINCT {sql_code(f'least(kmer, {RC.format("kmer")})', K8)} AS code FROM (SELECT {sql_kmer('l_partkey')} AS kmer FROM lineitem WHERE l_suppkey = 1)),
+t AS (SELECT l_returnflag AS set_id, {sql_code(f'least(kmer, {RC.format("kmer")})', K8)} AS code, taxid FROM (SELECT l_returnflag, {sql_kmer('l_partkey')} AS kmer, l_suppkey + 1000 AS taxid FROM lineitem))
+SELECT set_id, code, taxid FROM t WHERE code IN (SELECT code FROM q)""")
+def grep_each_set(spark, d):
+    asked_for = suppliers(spark, d).one("1")
+    return search.grep_table(flags(spark, d), search.queries_from_set(asked_for, asked_for.meta)).df
+
+
+@query(f"""WITH q AS (SELECT DISTINCT {sql_code(f'least(kmer, {RC.format("kmer")})', K8)} AS code FROM (SELECT {sql_kmer('l_partkey')} AS kmer FROM lineitem WHERE l_suppkey IN (1, 2))),
+t AS (SELECT {sql_code(f'least(kmer, {RC.format("kmer")})', K8)} AS code FROM (SELECT {sql_kmer('l_partkey')} AS kmer FROM lineitem)) SELECT code FROM t WHERE code IN (SELECT code FROM q) GROUP BY code HAVING count(*) > 1""")
+def grep_repeated(spark, d):
+    wanted = KmerSet(read(spark, d, "lineitem").where("l_suppkey IN (1, 2)").select(F.col("l_partkey").alias("code")), KmerMeta(K8))
+    return search.grep(items(spark, d, taxid=False), search.queries_from_set(wanted), mode="repeated").df
 
 
 @query("SELECT l_partkey AS code, l_suppkey + 1000 AS taxid FROM lineitem WHERE l_suppkey IN (1, 3, 7)")
@@ -403,6 +496,16 @@ def _rank(name, where, **how):
     query(f"WITH {LEVELS} SELECT taxid, count(*) AS number FROM ranked WHERE {where} GROUP BY taxid")(f)
 
 
+@query("SELECT * FROM (VALUES ('no rank'), ('superkingdom'), ('family'), ('species')) t(rank)")
+def rfilter_list_ranks(spark, d):
+    return taxonomy(spark, d).list_ranks()
+
+
+@query("SELECT rank, CAST(ord AS INT) AS ord FROM (VALUES ('superkingdom', 67), ('family', 25), ('species', 10)) t(rank, ord)")
+def rfilter_list_order(spark, d):
+    return taxonomy(spark, d).list_order()
+
+
 _rank("rfilter_lower", "rank IN ('species', 'no rank')", lower="family")
 _rank("rfilter_higher", "rank = 'superkingdom'", higher="family")
 _rank("rfilter_equal", "rank = 'family'", equal=("family",))
@@ -424,10 +527,19 @@ def locate_circular(spark, d):
     return search.locate(count(rows, K, mode="unique", canonical=True), rows, "doc_id", circular=True)
 
 
+def sql_ring(min_len: int) -> str:
+    """map of circular sequences: k-mers of the sequence written twice, regions that begin in the first copy and are a sequence long at most."""
+    return f"""{KM}, {MEMBER}, ring AS (SELECT doc_id, length(seq) AS n, seq || seq AS walk FROM seqs WHERE length(seq) >= {K}), turn AS (SELECT doc_id, n, walk, unnest(range(1, length(walk) - {K} + 2)) AS i FROM ring),
+p AS (SELECT doc_id, n, i - 1 AS pos, least(kmer, {RC.format('kmer')}) AS can FROM (SELECT doc_id, n, i, substr(walk, i, {K}) AS kmer FROM turn)),
+many AS (SELECT doc_id, can FROM p WHERE pos < n GROUP BY doc_id, can HAVING count(*) > 1), h AS (SELECT doc_id, n, pos FROM p WHERE can IN (SELECT can FROM mem) AND (doc_id, can) NOT IN (SELECT doc_id, can FROM many)),
+g AS (SELECT doc_id, n, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM h), runs AS (SELECT doc_id, n, min(pos) AS a, max(pos) + {K} AS b FROM g GROUP BY doc_id, n, island),
+reg AS (SELECT doc_id, a, least(b, a + n) AS b FROM runs WHERE a < n AND least(b, a + n) - a >= {min_len})"""
+
+
 def sql_regions(multi: str, min_len: int, gap: int, gaps: int) -> str:
     member = MEMBER if multi != "whole" else "mem AS (SELECT DISTINCT can FROM km)"
-    many = {"keep": "SELECT NULL AS doc_id, NULL AS can WHERE false", "drop": "SELECT doc_id, can FROM km GROUP BY doc_id, can HAVING count(*) > 1", "whole": "SELECT NULL AS doc_id, can FROM km GROUP BY can HAVING count(*) > 1"}[multi]
-    join = "km.can = many.can" + (" AND km.doc_id = many.doc_id" if multi == "drop" else "")
+    many = {"keep": "SELECT NULL AS doc_id, NULL AS can WHERE false", "drop": "SELECT doc_id, can FROM km GROUP BY doc_id, can HAVING count(*) > 1", "whole": "SELECT NULL AS doc_id, can FROM km GROUP BY can HAVING count(*) > 1", "unit": "SELECT source, can FROM km GROUP BY source, can HAVING count(*) > 1"}[multi]
+    join = "km.can = many.can" + (" AND km.doc_id = many.doc_id" if multi == "drop" else " AND km.source = many.source" if multi == "unit" else "")
     return f"""{KM}, {member}, many AS ({many}), cls AS (SELECT km.doc_id, pos, mem.can IS NOT NULL AS hit, many.can IS NOT NULL AS wall FROM km LEFT JOIN mem USING (can) LEFT JOIN many ON {join}),
 w AS (SELECT doc_id, pos, hit, wall, sum(wall::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS walls FROM cls), h AS (SELECT doc_id, pos, walls FROM w WHERE hit AND NOT wall),
 g AS (SELECT doc_id, pos, coalesce(pos - lag(pos) OVER o - 1, 1000000) AS behind, coalesce(walls <> lag(walls) OVER o, true) AS wall FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
@@ -449,6 +561,16 @@ def _map(name, multi="drop", min_len=16, gap=0, gaps=0, fasta=False):
     query(f"WITH {sql_regions(multi, min_len, gap, gaps)} SELECT {out}")(f)
 
 
+@query(f"WITH {sql_ring(16)} SELECT CAST(doc_id AS VARCHAR) AS chrom, a AS start, b AS \"end\" FROM reg")
+def map_circular(spark, d):
+    return search.map_regions(member_set(spark, d), sequences(spark, d), 16, "drop", id_col="doc_id", circular=True)
+
+
+@query(f"WITH {sql_regions('unit', 16, 0, 0)} SELECT CAST(doc_id AS VARCHAR) AS chrom, a AS start, b AS \"end\" FROM reg")
+def map_unit(spark, d):
+    return search.map_regions(member_set(spark, d), sequences(spark, d), 16, "whole", id_col="doc_id", unit="source")
+
+
 _map("map_bed3")
 _map("map_gaps", gap=4, gaps=2)
 _map("map_multi_allowed", "keep", 20)
