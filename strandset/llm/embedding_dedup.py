@@ -212,10 +212,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     if heavy.limit(1).count():
         pairs = asked.hint("merge").join(heavy.hint("merge"), entry, "left_anti").join(kept, entry).where((F.col("a") < F.col("b")) & first)
         vectors = classes.select("cls", "n", "v")
+        requests = asked.hint("merge").join(heavy.select(*entry), entry).groupBy(*entry).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+        heavy = stored(heavy.join(requests, entry), "requests")
         held = kept.join(heavy.hint("merge"), entry).join(vectors.withColumnRenamed("cls", "b").hint("merge"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-        asking = asked.join(heavy.hint("merge"), entry).join(vectors.withColumnRenamed("cls", "a").hint("merge"), "a").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        asking = asked.join(heavy.hint("merge"), entry).join(vectors.withColumnRenamed("cls", "a").hint("merge"), "a").withColumn("own", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int"))
         dealt = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        held = held.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = held.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         met = first_meeting(*plan)
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
