@@ -226,8 +226,8 @@ def test_everything_on_empty_input(spark):
 def test_streams_with_event_time(spark, tmp_path):
     from strandset.streaming.ingest import kmer_counts, new_kmers
 
-    rows = [("AAAC", "2024-01-01 00:10:00"), ("AAAC", "2024-01-01 00:50:00"), ("CCC", "2024-01-01 05:00:00"), ("AAA", "2024-01-01 00:00:00")]
-    for i, part in enumerate((rows[:2], rows[2:3], rows[3:])):
+    rows = [("AAAC", "2024-01-01 00:10:00"), ("AAAC", "2024-01-01 00:50:00"), ("CCC", "2024-01-01 05:00:00"), ("CCC", "2024-01-01 05:10:00"), ("AAA", "2024-01-01 00:00:00")]
+    for i, part in enumerate((rows[:2], rows[2:3], rows[3:4], rows[4:])):
         spark.createDataFrame(part, "seq string, at string").selectExpr("seq", "cast(at as timestamp) at").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     for i, make in enumerate((lambda s: kmer_counts(s, 3, "at").selectExpr("window.start", "code", "n"), lambda s: new_kmers(s, 3, time_col="at").select("code"))):
         found = []
