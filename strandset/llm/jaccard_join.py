@@ -16,8 +16,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of df: id_col, n_links, class_id, kept.
 
     Documents link if the Jaccard similarity of their sets of five-word shingles is threshold or more. n_links counts the other
-    documents linked directly, class_id is the smallest id reachable over links, kept marks it. A text without words links
-    with nothing, not even its like. Rows of one id are separate documents of one name.
+    documents linked directly, class_id is the smallest id reachable over links, kept marks it. A null or empty text, and one without
+    words, links with nothing, not even its like. Rows are documents, whatever their id: rows of one id link as others do, and ids may be
+    null (a null id is no smallest id if there is another). Other columns are not read. An empty table gives no rows.
     """
     bands, rows = minhash.tune_bands(threshold, MISS)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -48,7 +49,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = classes.select("set", "rep", "n").join(clusters, "set")
     fetched = docs.join(wanted, docs["id"].eqNullSafe(wanted["rep"])).select("set", "n", "cluster", "text")
     texts = fetched.mapInArrow(own_text, "set long, n long, cluster long, text string").dropDuplicates(["set"])
-    links = stored(minhash.links_within(texts, clusters, threshold), "links")
+    links = stored(minhash.links_within(texts, clusters, threshold, classes, (bands, rows)), "links")
     counts = links.where("other is null").groupBy("set").agg(F.sum("links").alias("links"))
     groups = minhash.set_components(links)
     named = classes.select("set", "rep", "n").join(counts, "set", "left").join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
@@ -60,12 +61,17 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query: a row for each row of documents; jaccard_join() tells what odd rows give."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies one row stays, that of the smallest id; a row without an id, if no other has one."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """Pipeline stage: of each class of near copies one row stays, that of the smallest id; a row without an id, if no other has one.
+
+    All columns stay. Exact copies are one class, under one id too; texts without words are classes of their own, so that they
+    all stay; an empty table stays empty.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # numbered once
     classes = jaccard_join(rows, "__row").select("__row", "class_id").join(rows.select("__row", "doc_id"), "__row")
     first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
     return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -3,8 +3,8 @@
 An item is a text; its set is that of its hashed shingles of WORDS words (a shorter text is one shingle, a text
 without words has no set). Items of equal sets are one class, known by a hash of the set. Classes that share a band
 of MinHash values are joined to the smallest class of that band, and the components of these links are candidate
-clusters. A cluster is dealt out as pairs of blocks of at most BLOCK classes, so a large one becomes many tasks. In a
-pair of blocks MinHash values are compared STEP at a time, and a pair is dropped once the posterior probability that its
+clusters. A cluster is dealt out as pairs of blocks of at most BLOCK classes, so a large one becomes many tasks; one of more
+than LARGE classes, which may be a chain of few links, is dealt out by the bands that its classes share. In a pair of blocks MinHash values are compared STEP at a time, and a pair is dropped once the posterior probability that its
 Jaccard similarity reaches the threshold falls below TOLERANCE; the rest is verified on the sets. Out come link counts
 for each class and a spanning forest of the links, both in proportion to the classes.
 """
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, slices, text_slices
+from .common import TwoGenerationCache, slices, stored, text_slices
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, STEP, TOLERANCE = 128, 32, 1e-6
 BLOCK = 256
+#: Clusters of more sets are compared band by band.
+LARGE = 8 * BLOCK
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, np.uint32)
@@ -178,53 +180,57 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(set, bands) -> (set, cluster) of the sets that share a band with another one."""
     rows = classes.select("set", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("set").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hubs = stored(hubs, "hubs")  # stored, the large side of the join is a plain exchange, which can be split where it is skewed
     return components(rows.join(hubs, "band").where("set <> hub").select("set", "hub"), "set", "hub").toDF("set", "cluster")
 
 
-def links_within(texts: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def links_within(texts: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD, classes: DataFrame | None = None, banding: tuple[int, int] | None = None) -> DataFrame:
     """Verified links: texts (set, n, cluster, text), clusters (set, cluster). Gives (set, other, links).
 
     Rows with other are links of a spanning forest; rows without it say that set has links linked items in one pair of blocks.
+    Clusters of up to LARGE sets are compared throughout. Larger ones, chains perhaps, band by band, given classes (set, bands) and
+    the (bands, rows) of banding: each pair that shares bands is compared in the first of them.
     """
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    parted = texts.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int"))
+    large = sizes.where(F.col("members") > LARGE)
+    banded = classes is not None and large.limit(1).count() > 0
+    columns = ["cluster", "set", "n", "blocks", "own", "packed"]
+    whole = texts.join(sizes.where(F.col("members") <= LARGE) if banded else sizes, "cluster")
+    dealt = _dealt(_packed(_blocked(whole)).withColumn("banded", F.lit(False)))
+    if banded:
+        entries = clusters.join(large.select("cluster"), "cluster").select("set").join(classes.select("set", "bands"), "set").select("set", F.explode("bands").alias("cluster"))
+        shared = entries.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        entries = _blocked(entries.join(stored(shared, "shared"), "cluster"))
+        once = texts.join(large.select("cluster"), "cluster").withColumns({"blocks": F.lit(1), "own": F.lit(0)})
+        ready = stored(_packed(once).select("set", "n", "packed"), "packed")
+        dealt = dealt.union(_dealt(entries.select("cluster", "set", "blocks", "own").join(ready, "set").select(*columns).withColumn("banded", F.lit(True))))
     least = least_matches(threshold)
-
-    def prepare(batches):
-        shingler = Shingler()
-        for batch in batches:
-            for a, b in text_slices(batch.column(5), 512):
-                sets = shingler.sets([t or "" for t in batch.column(5).slice(a, b - a).to_pylist()])
-                some = [i for i, s in enumerate(sets) if len(s)]
-                if some:
-                    packed = [sig.tobytes() + sets[i].tobytes() for i, sig in zip(some, signatures([sets[i] for i in some]))]
-                    at = pa.array([a + i for i in some])
-                    yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(5)] + [pa.array(packed, pa.binary())], names=["cluster", "set", "n", "blocks", "own", "packed"])
-
-    ready = parted.select("cluster", "set", "n", "blocks", "own", "text").mapInArrow(prepare, "cluster long, set long, n long, blocks int, own int, packed binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    dealt = ready.select("cluster", "set", "n", "own", "packed", other).select("cluster", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "set", "n", "packed")
-    dealt = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    key = ["banded", "cluster", "x", "y"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches):
-        def done(x, y, rows):
-            rows = list({r[4]: r for r in rows}.values())
-            a, b = [r for r in rows if r[3] == x], [r for r in rows if r[3] == y]
-            read = lambda rs: ([np.frombuffer(r[6], np.uint32)[HASHES:] for r in rs], np.array([np.frombuffer(r[6], np.uint32, HASHES) for r in rs]))
+        def done(cluster, x, y, by_band, rows):
+            rows = list({r[5]: r for r in rows}.values())
+            a, b = [r for r in rows if r[4] == x], [r for r in rows if r[4] == y]
+            read = lambda rs: ([np.frombuffer(r[7], np.uint32)[HASHES:] for r in rs], np.array([np.frombuffer(r[7], np.uint32, HASHES) for r in rs]))
             if len(rows) < 2 or not a or not b:
                 return
             (sets_a, sig_a), (sets_b, sig_b) = read(a), read(b)
             i, j = compare_blocks(sets_a, sets_b, sig_a, sig_b, x == y, threshold, least)
+            if by_band and len(i):
+                keys_a, keys_b = band_keys(sig_a, *banding), band_keys(sig_b, *banding)
+                same = keys_a[i] == keys_b[j]
+                first = keys_a[i, same.argmax(1)] == cluster
+                i, j = i[first], j[first]
             if not len(i):
                 return
-            n_a, n_b = np.array([r[5] for r in a], float), np.array([r[5] for r in b], float)
+            n_a, n_b = np.array([r[6] for r in a], float), np.array([r[6] for r in b], float)
             for own, n in ((a, np.bincount(i, n_b[j], len(a))), (b, np.bincount(j, n_a[i], len(b)))):
                 for r, links in zip(own, n):
                     if links:
-                        yield r[4], None, int(links)
+                        yield r[5], None, int(links)
             for k in forest(i, j + (0 if x == y else len(a))):
-                yield a[i[k]][4], b[j[k]][4], 0
+                yield a[i[k]][5], b[j[k]][5], 0
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["set", "other", "links"])
@@ -232,22 +238,50 @@ def links_within(texts: DataFrame, clusters: DataFrame, threshold: float = THRES
         held, found = [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[-1][:3]:
-                    found += done(held[0][1], held[0][2], held)
+                if held and row[:4] != held[-1][:4]:
+                    found += done(held[0][1], held[0][2], held[0][3], held[0][0], held)
                     held = []
                 held.append(row)
             if len(found) > 10_000:
                 yield batch_of(found)
                 found = []
         if held:
-            found += done(held[0][1], held[0][2], held)
+            found += done(held[0][1], held[0][2], held[0][3], held[0][0], held)
         yield batch_of(found)
 
-    return dealt.mapInArrow(compare, "set long, other long, links long")
+    return dealt.select(*key, "own", "set", "n", "packed").mapInArrow(compare, "set long, other long, links long")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """rows (cluster, set, members...) with the number of blocks of their cluster and their own block."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(cluster, set, n, blocks, own, packed) of rows that have text: its MinHash values and its set; texts without words are left out."""
+
+    def prepare(batches):
+        shingler = Shingler()
+        for batch in batches:
+            for a, b in text_slices(batch.column(5), 512):
+                sets = shingler.sets([t or "" for t in batch.column(5).slice(a, b - a).to_pylist()])
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if some:
+                    packed = [sig.tobytes() + sets[i].tobytes() for i, sig in zip(some, signatures([sets[i] for i in some]))]
+                    at = pa.array([a + i for i in some])
+                    yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(5)] + [pa.array(packed, pa.binary())], names=["cluster", "set", "n", "blocks", "own", "packed"])
+
+    return rows.select("cluster", "set", "n", "blocks", "own", "text").mapInArrow(prepare, "cluster long, set long, n long, blocks int, own int, packed binary")
+
+
+def _dealt(ready: DataFrame) -> DataFrame:
+    """Every row once for each pair (x, y) of blocks of its cluster that its own block is part of."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    pairs = ready.select("banded", "cluster", "set", "n", "own", "packed", other)
+    return pairs.select("banded", "cluster", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "set", "n", "packed")
 
 
 def set_components(links: DataFrame) -> DataFrame:
     """(set, group) of the sets that have links."""
     return components(links.where("other is not null"), "set", "other").toDF("set", "group")
-
-

@@ -126,3 +126,24 @@ def test_nearest_of_odd_queries(spark):
         want += [(k + 1, i, x) for k, (x, i) in enumerate(d)]
     assert set(got) == {3} and [x[:2] for x in sorted(got[3])] == [x[:2] for x in sorted(want)]
     assert ann.nearest(vectors(spark, rows).limit(0), vectors(spark, asked)).count() == 0
+
+
+def test_chains_are_compared_by_bands(spark, monkeypatch):
+    """A component too large to be compared throughout gives the same links, each counted once."""
+    from strandset.llm import jaccard_join, minhash
+
+    from .test_operators import sets_of
+
+    rng = random.Random(25)
+    texts, now = [], words(rng, 60).split()
+    for _ in range(70):  # a chain: neighbours are alike, ends are not
+        texts.append(" ".join(now))
+        now = now[2:] + words(rng, 2).split()
+    texts += texts[5:8] + [words(rng, 60) for _ in range(5)]
+    s = [sets_of(t) for t in texts]
+    linked = [sum(j != i and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) for j in range(len(s))) for i in range(len(s))]
+    monkeypatch.setattr(minhash, "LARGE", 10)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(documents(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_links for i in range(len(s))] == linked and sum(linked) > 200
+    assert {got[i].class_id for i in range(73)} == {0} and all(got[i].kept for i in range(73, 78))
