@@ -91,6 +91,40 @@ def read_fastx(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", "content").mapInArrow(run, RECORD)
 
 
+def read_fastq_stream(spark: SparkSession, path: str) -> DataFrame:
+    """RECORD rows of FASTQ files in gzip or zstd, of any size: a task streams through a file, line by line.
+
+    Sequence and quality take a line each. Other files could be cut inside a record and are an error; read_fastx() reads them.
+    """
+
+    def run(batches):
+        file, held, number = None, [], 0
+        for batch in batches:
+            out = []
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != file:
+                    if held:
+                        raise ValueError(f"{file} ends inside a record")
+                    if not name.endswith((".gz", ".zst")):
+                        raise ValueError(f"{name} is neither gzip nor zstd")
+                    file, number = name, 0
+                line = line.rstrip("\r")
+                if held or line:
+                    held.append(line)
+                if len(held) == 4:
+                    head, seq, plus, qual = held
+                    if head[:1] != "@" or plus[:1] != "+" or len(seq) != len(qual):
+                        raise ValueError(f"record {number} of {file} is no FASTQ record")
+                    out.append((file, number, (head[1:].split() or [""])[0], head[1:], seq, qual))
+                    held, number = [], number + 1
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:])], names=["file", "rec_no", "id", "name", "seq", "qual"])
+        if held:
+            raise ValueError(f"{file} ends inside a record")
+
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, RECORD)
+
+
 def read_kmers(spark: SparkSession, path: str, k: int, hashed: bool = False, to_canonical: bool = False, only_canonical: bool = False, unique: bool = False, global_taxid: int | None = None, hash_text: bool = False) -> KmerSet:
     """K-mer text (kmer or kmer<tab>taxid a line), or hash numbers; blank lines are skipped, another length is an error."""
     rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.split("value", "\t").alias("p"))

@@ -179,6 +179,22 @@ def test_compressed_files(spark, tmp_path, kind):
         assert [(r.id, r.seq) for r in readers.read_fasta(spark, str(tmp_path / f"a.fa{kind}")).collect()] == [("x", "ACGT"), ("y", "TTT")]
 
 
+@pytest.mark.parametrize("kind", [".gz", ".zst"])
+def test_streamed_fastq(spark, tmp_path, kind):
+    for f in "ab":
+        text = "".join(f"@{f}{i} x\n{'ACGT' * i}\n+\n{'@+I!' * i}\n" for i in range(1, 30))
+        (tmp_path / f"{f}.fq{kind}").write_bytes(PACK[kind](text.encode()))
+    fields = ("file", "rec_no", "id", "name", "seq", "qual")
+    got, want = (sorted(tuple(r[c] for c in fields[1:]) for r in f(spark, str(tmp_path)).collect()) for f in (readers.read_fastq_stream, readers.read_fastx))
+    assert got == want and len(got) == 58
+    (tmp_path / f"c.fq{kind}").write_bytes(PACK[kind](b"@r\nAC\n+\n"))
+    with pytest.raises(Exception, match="inside a record"):
+        readers.read_fastq_stream(spark, str(tmp_path / f"c.fq{kind}")).collect()
+    (tmp_path / "d.fq").write_text("@r\nA\n+\nI\n")
+    with pytest.raises(Exception, match="neither gzip nor zstd"):
+        readers.read_fastq_stream(spark, str(tmp_path / "d.fq")).collect()
+
+
 def test_taxonomy_dump_and_text(spark, tmp_path):
     (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\tx\t|\n2\t|\t1\t|\tgenus\t|\ty\t|\n")
     nodes, merged = readers.read_taxdump(spark, str(tmp_path))
