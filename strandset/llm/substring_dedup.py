@@ -6,7 +6,8 @@ a shingle is the least of APART neighbouring ones. The same passage thus begins
 and every passage of CORE + APART - 1 words holds at least one; all words of a stretch are one band. A stretch with its
 like elsewhere is only a candidate: both are cut out of their texts with the words around them, compared word by word, and
 the passage reaches as far as the Jaccard similarity of the shingles in place stays at the threshold. Passages of
-PASSAGE words or more go, but for the first.
+PASSAGE words or more go, but for the first. They are looked for outside the lines that go, so that no passage goes for the
+sake of one that has gone.
 
 Rows are known by id and a hash of the text, so that ids may repeat with other texts or be null.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import minhash
-from .common import discard, stored, table, text_slices
+from .common import discard, slices, stored, table, text_slices
 
 #: Paragraphs (lines) of fewer words, which have one shingle at most, are left alone: they recur by chance and as headings.
 LEAST_WORDS = minhash.WORDS + 1
@@ -72,7 +73,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 lines = np.flatnonzero(long)[some]
                 of_text = np.bincount(owner, sizes, len(ids)).astype(np.int64)
                 with np.errstate(over="ignore"):
-                    at = stretch_starts(words, of_text, stretch, apart)
+                    at = varied(words, stretch_starts(words, of_text, stretch, apart), stretch)
                     key = np.zeros(len(at), np.uint64)
                     for j in range(stretch):
                         key = (key ^ words[at + j]) * minhash._M
@@ -80,8 +81,10 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 ends = np.cumsum(of_text)
                 text = np.searchsorted(ends, at, "right")
                 texts, counts = np.unique(text, return_counts=True)
+                line_ends = np.cumsum(sizes)
+                touched = [number[np.searchsorted(line_ends, at + k, "right")] for k in (0, stretch - 1)]  # its first and its last line
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array((at - (ends - of_text)[text]).astype(np.int32)), pa.array(key.view(np.int64)))]
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array((at - (ends - of_text)[text]).astype(np.int32)), pa.array(key.view(np.int64)), *map(pa.array, touched))]
                 n, m, rows_ = len(lines), len(texts), pa.array(np.concatenate((owner[lines], texts)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -92,11 +95,13 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                         pa.concat_arrays([pa.array(keys, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
                         pa.concat_arrays([pa.nulls(n, lists[0].type), lists[0]]),
                         pa.concat_arrays([pa.nulls(n, lists[1].type), lists[1]]),
+                        pa.concat_arrays([pa.nulls(n, lists[2].type), lists[2]]),
+                        pa.concat_arrays([pa.nulls(n, lists[3].type), lists[3]]),
                     ],
-                    names=["id", "hash", "paragraph", "set", "bands", "starts", "keys"],
+                    names=["id", "hash", "paragraph", "set", "bands", "starts", "keys", "from", "to"],
                 )
 
-    return stored(with_key(df, id_col, text_col).mapInArrow(run, "id long, hash long, paragraph int, set long, bands array<long>, starts array<int>, keys array<long>"), "paragraphs")
+    return stored(with_key(df, id_col, text_col).mapInArrow(run, "id long, hash long, paragraph int, set long, bands array<long>, starts array<int>, keys array<long>, from array<int>, to array<int>"), "paragraphs")
 
 
 def with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,7 +126,7 @@ def removals(df: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_co
     """
     sketched = sketched.where("set is not null").select("id", "hash", "paragraph", "set", "bands")
     by_set = sketched.groupBy("set")
-    classes = stored(by_set.agg(F.min(place("paragraph")).alias("rep"), F.max(place("paragraph")).alias("last"), F.min("bands").alias("bands")).withColumn("more", F.col("rep") != F.col("last")).drop("last"), "classes")
+    classes = stored(by_set.agg(F.min(place("paragraph")).alias("rep"), F.count(F.lit(1)).alias("n"), F.min("bands").alias("bands")), "classes")
     clusters = minhash.candidate_clusters(classes.where("bands is not null"))
     wanted = classes.select("set", "rep").join(clusters, "set").groupBy(F.col("rep.id").alias("id"), F.col("rep.hash").alias("hash")).agg(F.collect_list(F.struct(F.col("rep.paragraph").alias("paragraph"), "set", "cluster")).alias("at"))
 
@@ -137,12 +142,12 @@ def removals(df: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["set", "n", "cluster", "text"])
 
     texts = of_rows(with_key(df, id_col, text_col), wanted).select("text", "at").mapInArrow(cut, "set long, n long, cluster long, text string")
-    links = stored(minhash.links_within(texts, clusters, threshold), "links")
+    links = stored(minhash.links_within(texts, clusters, threshold, classes.where("bands is not null"), minhash.tune_bands(threshold, MISS)), "links")
     groups = minhash.set_components(links)
     linked = classes.select("set", "rep").join(groups, "set")
     firsts = linked.groupBy("group").agg(F.min("rep").alias("first"))
     of_linked = linked.join(firsts, "group").select("set", "first")
-    of_set = stored(classes.join(of_linked, "set", "left").where("more or first is not null").select("set", F.coalesce("first", "rep").alias("first")), "firsts")
+    of_set = stored(classes.join(of_linked, "set", "left").where("n > 1 or first is not null").select("set", F.coalesce("first", "rep").alias("first")), "firsts")
     gone = sketched.select("id", "hash", "paragraph", "set").join(of_set, "set").where(place("paragraph") != F.col("first"))
     return gone.select("id", "hash", "paragraph", F.col("first.id").alias("component_id"))
 
@@ -178,11 +183,26 @@ def stretch_starts(words: np.ndarray, sizes: np.ndarray, stretch: int = 40, apar
     return np.unique(np.concatenate(out) & np.uint64(0xFFFFFFFF)).astype(np.int64) if out else np.empty(0, np.int64)
 
 
-def contexts(df: DataFrame, sketched: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = CORE, apart: int = APART) -> DataFrame:
+def varied(words: np.ndarray, at: np.ndarray, stretch: int = CORE) -> np.ndarray:
+    """The starts of stretches with DIFFERENT different words or more."""
+    kept = []
+    for a, b in slices(len(at), 100_000):
+        own = np.sort((words[at[a:b, None] + np.arange(stretch)] >> np.uint64(32)).astype(np.uint32), axis=1)
+        kept.append(at[a:b][(own[:, 1:] != own[:, :-1]).sum(1) + 1 >= DIFFERENT])
+    return np.concatenate(kept) if kept else at
+
+
+def contexts(df: DataFrame, sketched: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = CORE, apart: int = APART) -> DataFrame:
     """(key, id, hash, start, first, before, after, words): the stretches that stand in more than one place, with apart words on
-    either side (before and after of them are there), as 32-bit hashes of words. first marks the first place of a key."""
-    found = sketched.where("keys is not null").select("id", "hash", F.explode(F.arrays_zip("starts", "keys")).alias("s")).select("id", "hash", F.col("s.starts").alias("start"), F.col("s.keys").alias("key"))
-    firsts = found.groupBy("key").agg(F.min(place("start")).alias("first"), F.max(place("start")).alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
+    either side (before and after of them are there), as 32-bit hashes of words. first marks the first place of a key.
+
+    Stretches that touch one of the lines to remove are left out, as repeats and as first places.
+    """
+    gone = lines.groupBy("id", "hash").agg(F.collect_set("paragraph").alias("gone"))
+    found = of_rows(sketched.where("keys is not null").select("id", "hash", F.arrays_zip("starts", "keys", "from", "to").alias("at")), gone, "left")
+    stays = F.filter("at", lambda s: ~F.exists("gone", lambda line: line.between(s["from"], s["to"])))
+    found = found.select("id", "hash", F.explode(F.when(F.col("gone").isNull(), F.col("at")).otherwise(stays)).alias("s")).select("id", "hash", F.col("s.starts").alias("start"), F.col("s.keys").alias("key"))
+    firsts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place("start")).alias("first")).where("n > 1").select("key", "first")
     shared = found.join(stored(firsts, "firsts"), "key")
     wanted = stored(shared.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "key", (place("start") == F.col("first")).alias("first"))).alias("at")), "wanted")
     width = stretch + 2 * apart
@@ -227,7 +247,6 @@ def reach(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, t
     column = np.arange(stretch + 2 * apart)
     same = (x == y) & (column >= apart - before[:, None]) & (column < apart + stretch + after[:, None])
     core = same[:, apart : apart + stretch].all(1)
-    core &= (np.diff(np.sort(x[:, apart : apart + stretch], axis=1), axis=1) != 0).sum(1) + 1 >= DIFFERENT
     n = len(column) - minhash.WORDS + 1
     whole = np.ones((len(x), n), bool)
     for j in range(minhash.WORDS):
@@ -319,8 +338,9 @@ def _removed(df: DataFrame, id_col: str, text_col: str, threshold: float, least_
     """remove_paragraphs() with names of its own for the columns that are carried."""
     carried = df.select(id_col, *keep).schema.fields
     sketched = sketches(df, id_col, text_col, threshold, least_words)
-    lines = removals(df, sketched, id_col, text_col, threshold).select("id", "hash", F.struct("paragraph", "component_id").alias("line"), F.lit(None).cast("struct<a:int,b:int,component_id:bigint>").alias("words"))
-    found = contexts(df, sketched, id_col, text_col)
+    lines = stored(removals(df, sketched, id_col, text_col, threshold), "lines")
+    found = contexts(df, sketched, lines, id_col, text_col)
+    lines = lines.select("id", "hash", F.struct("paragraph", "component_id").alias("line"), F.lit(None).cast("struct<a:int,b:int,component_id:bigint>").alias("words"))
     inner = passages(found, threshold).select("id", "hash", F.lit(None).cast("struct<paragraph:int,component_id:bigint>").alias("line"), F.struct("a", "b", "component_id").alias("words"))
     gone = stored(lines.union(inner).groupBy("id", "hash").agg(F.collect_set("line").alias("lines"), F.collect_set("words").alias("words")), "gone")
     discard(sketched)
