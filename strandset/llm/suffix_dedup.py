@@ -9,7 +9,8 @@ Runs of equal text are collapsed and are repeats of each other. Runs that share
 are cut out of their documents and sorted by suffix, in batches that keep together what shares the anchor and LEAST/2
 - GRAM/2 bytes before or after it, as any common window does. In suffix order, the previous and next smaller position with a
 common prefix of LEAST bytes is an earlier match (the longest previous factor is long enough), the previous and next
-larger one a later match. Matches never cross documents, as runs do not.
+larger one a later match. Matches never cross documents, as runs do not. Where more than HEAVY texts share an anchor (a
+very common passage in many surroundings), no task sees them all: their windows are hashed one by one and counted.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import slices, stored, table, text_slices
 LEAST, GRAM = 200, 40
 CHUNK = 1 << 20  # windows looked at together; positions in a chunk take 21 bits
 BATCH_BYTES = 1 << 21
+#: Where more texts share an anchor, their windows are told apart one by one.
+HEAVY = 1024
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0xD6E8FEB86659FD93)
@@ -183,6 +186,33 @@ def with_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
 
 
+def _wanted(mixed: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc, id, hash, at) of runs: at lists those to cut out of a document, at most a run for each of its bytes."""
+    cut = mixed.select(F.col("rep.doc").alias("doc"), F.struct("h1", "rep.start", "rep.length", "rep.before", (F.col("n") > 1).alias("many")).alias("at"))
+    return cut.groupBy("doc").agg(F.collect_list("at").alias("at")).join(named, "doc")
+
+
+def single_windows(batches):
+    """Every window of the runs of (doc, text, at), with two hashes of its text."""
+    seen = set()  # rows of one id and text meet the same list
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ident = batch.column(0)[row].as_py()
+            if ident in seen:
+                continue
+            seen.add(ident)
+            data = np.frombuffer((batch.column(1)[row].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+            runs_ = batch.column(2)[row].as_py()
+            starts = [np.arange(x["start"], x["start"] + x["length"] - LEAST + 1) for x in runs_]
+            many = np.repeat([x["many"] for x in runs_], list(map(len, starts)))
+            start = np.concatenate(starts)
+            half = start + LEAST // 2
+            one, left, right = text_hash(data, start, start + LEAST), text_hash(data, start, half), text_hash(data, half, start + LEAST)
+            with np.errstate(over="ignore"):
+                two = _mix(left * np.uint64(3) + right)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), ident)), pa.array(start), pa.array(many), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc", "start", "many", "k1", "k2"])
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hash, marks): stretches (start, length) of bytes whose union is every byte in a window that also starts elsewhere.
 
@@ -252,8 +282,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = stored(texts.where("n > 1 or mixed"), "texts")
     many = texts.where("n > 1").select("h1", "h2")
     marks = found.where("h1 is null and n is not null").select("doc", "start", F.col("length").cast("long").alias("length")).union(shared.where("n = 1").join(many, ["h1", "h2"]).select("doc", "start", F.col("length").cast("long")))
-    cut = texts.where("mixed").select(F.col("rep.doc").alias("doc"), F.struct("h1", "rep.start", "rep.length", "rep.before", (F.col("n") > 1).alias("many")).alias("at"))
-    wanted = cut.groupBy("doc").agg(F.collect_list("at").alias("at")).join(named, "doc")  # at most a run for each byte of the document
+    mixed = texts.where("mixed")
+    heavy = stored(mixed.groupBy("h1").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > HEAVY).select("h1"), "heavy")
+    crowded = heavy.limit(1).count() > 0
+    at = lambda rows: _wanted(rows, named)
+    wanted = at(mixed.join(heavy, "h1", "left_anti") if crowded else mixed)
     half = (LEAST - GRAM) // 2
     pieces = "doc long, start long, many boolean, side int, key long, text binary"
 
@@ -286,8 +319,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     many_ += [at[i]["many"] for i in ok]
                 yield pa.RecordBatch.from_arrays([pa.array([ident] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(many_, pa.bool_()), pa.array(sides, pa.int32()), pa.array(keys, pa.int64()), pa.array(own, pa.binary())], names=["doc", "start", "many", "side", "key", "text"])
 
-    same = docs["id"].eqNullSafe(wanted["id"]) & (docs["hash"] == wanted["hash"])
-    sorted_ = docs.join(wanted, same).select("doc", "text", "at").mapInArrow(cut_out, pieces).repartition("side", "key").sortWithinPartitions("side", "key")
+    same = lambda other: docs["id"].eqNullSafe(other["id"]) & (docs["hash"] == other["hash"])
+    sorted_ = docs.join(wanted, same(wanted)).select("doc", "text", "at").mapInArrow(cut_out, pieces).repartition("side", "key").sortWithinPartitions("side", "key")
 
     def compare(batches):
         held, size = [], 0
@@ -314,7 +347,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held:
             yield emit(held)
 
-    marks = marks.union(sorted_.mapInArrow(compare, "doc long, start long, length long")).groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("marks"))
+    marks = marks.union(sorted_.mapInArrow(compare, "doc long, start long, length long"))
+    if crowded:
+        wanted = at(mixed.join(heavy, "h1", "left_semi"))
+        windows = stored(docs.join(wanted, same(wanted)).select("doc", "text", "at").mapInArrow(single_windows, "doc long, start long, many boolean, k1 long, k2 long"), "windows")
+        times = windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", "k2")
+        marks = marks.union(windows.where("not many").join(stored(times, "times"), ["k1", "k2"]).select("doc", "start", F.lit(LEAST).cast("long")))
+    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("marks"))
     # rows of one id and text are all marked from end to end if they can be, so that the first stands for all
     return marks.join(named.groupBy("id", "hash").agg(F.min("doc").alias("doc")), "doc").select("id", "hash", "marks")
 

@@ -34,7 +34,9 @@ def repeats(texts, least=200):
     return out
 
 
-def test_suffixes_of_odd_rows(spark):
+@pytest.mark.parametrize("heavy", [1024, 1])
+def test_suffixes_of_odd_rows(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     rng = random.Random(20)
     shared, alone, copy = words(rng, 80), words(rng, 260), words(rng, 120)
     rows = [(5, words(rng, 90) + shared + words(rng, 20)), (5, alone), (None, words(rng, 40) + shared), (None, words(rng, 300)), (7, copy), (7, copy), (None, copy), (8, ""), (8, None), (8, shared)]
