@@ -101,7 +101,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         if not len(live):
             break
         rows = order[live, a:b]
-        d = np.sqrt(((x[rows] - q[live][:, None]) ** 2).sum(2))
+        d = np.sqrt(np.cumsum((x[rows] - q[live][:, None]) ** 2, axis=2)[:, :, -1])  # added in order, as anyone would
         d[np.isinf(near[live, a:b])] = np.inf
         all_d, all_i = np.concatenate((best[live], d), 1), np.concatenate((which[live], ids[rows]), 1)
         first = np.lexsort((all_i, all_d), axis=1)[:, :k]
