@@ -153,7 +153,7 @@ def test_sum_of_squares_by_hand(capacity):
 
 
 def test_copied_plans_stay_near_the_bound(monkeypatch):
-    monkeypatch.setattr(packing, "PLAN", 3000)
+    monkeypatch.setattr(packing, "PLAN", 12_000)
     rng = np.random.default_rng(54)
     counts = np.bincount(np.minimum(rng.lognormal(5.5, 1.0, 40_000).astype(int) + 1, 4096), minlength=4097)
     plan = packing.Plan(counts, 4096)
