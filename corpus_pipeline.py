@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandset.llm.common import stored, table
+from strandset.llm.common import discard, stored, table
 from strandset.llm.jaccard_join import stage_jaccard
 from strandset.llm.langid import stage_langid
 from strandset.llm.packing import pack_pieces, token_pieces
@@ -16,7 +16,11 @@ from strandset.llm.toxicity import stage_toxicity
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: a row for each piece of a document, with its sequence and its place there."""
+    """Last stage: a row for each piece of a document, with its sequence and its place there.
+
+    Rows that repeat or share an id are packed one by one, null ids too; a null or empty text is a piece of one token, its end. Other
+    columns are not read. An empty table gives no rows.
+    """
     return pack_pieces(token_pieces(docs, with_ids=False))
 
 
@@ -32,9 +36,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; between stages the rows kept are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
+            kept = stored(kept, f"stage{k}")
+            discard(docs)
+        docs = kept
     return docs
