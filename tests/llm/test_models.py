@@ -166,3 +166,25 @@ def test_copied_plans_stay_near_the_bound(monkeypatch):
     s, a, n = sequence[order], offset[order], length[order]
     first = np.append(True, s[1:] != s[:-1])
     assert (a[first] == 0).all() and (a[1:][~first[1:]] == (a + n)[:-1][~first[1:]]).all() and (a + n).max() <= 4096
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, odd):
+    """Empty tables, rows that repeat, null ids, extra columns of clashing names and a long text go through all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(55)
+    long, text = words(rng, 40_000), words(rng, 60)
+    rows = [(1, text), (1, text), (1, words(rng, 70)), (None, words(rng, 80)), (None, words(rng, 90)), (2, None), (3, ""), (4, "12 34"), (5, long), (None, text)] if odd else []
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("score", "id", "hash", "set", "n", "own0", "kept", "label", "predicted", "__text")
+    docs.withColumns({c: F.lit("clash") for c in names}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs.withColumns({c: F.lit("clash") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns + list(names), name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = collections.Counter(r.doc_id for r in out if r.piece == 0)
+    # of the copies of one text the row of the smallest id stays; the other texts with letters stay, null ids too
+    assert pieces == ({1: 2, None: 2, 5: 1} if odd else {}) and (not odd or max(r.piece for r in out) > 10)
