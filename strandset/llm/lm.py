@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ OUTCOMES = CLASSES * CLASSES  # no model has fewer places for outcomes
 OTHER, END = 0, 1
 END_WORD = b" "  # no word contains a blank
 CLASS_BITS, WORD_BITS, MOST_BITS = 13, 14, 20  # of the smallest tables, and of the largest one
+#: Levels of more nodes have their shares computed when they are asked for.
 TABLE = 1 << 18
 #: Rows of the lower table for each root of the number of tokens.
 ROWS = 8
-ROUNDS, STEP, PRIOR, FARTHEST = 8, 0.4, 2.0, 0.6
+ROUNDS, STEP, PRIOR, FARTHEST, LARGEST = 8, 0.4, 2.0, 0.6, 15.0
 #: Where a round has more tokens than this, rounds share the tokens out.
 ROUND_TOKENS = 250_000
 BLOCK_TOKENS = 3_000_000
@@ -46,6 +48,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def numbered_words(texts: pa.Array, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts (see words_of) as numbers, each text ended by 0, and the texts' sizes; numbers learns new words.
+
+    Words are told apart by Arrow; Python sees each different word of the texts once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = np.fromiter((numbers.setdefault(w, len(numbers)) if w else -1 for w in words), np.int64, len(words))
+    if len(numbers) > 1 << 24:
+        raise ValueError("more than 2^24 different words in a block")
+    flat = own[coded.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    flat, owner = flat[flat >= 0], owner[flat >= 0]  # blanks at an end leave an empty word
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    out = np.zeros(int(sizes.sum()), np.int64)
+    out[np.arange(len(flat)) + owner] = flat
+    return out, sizes
+
+
 def encode_blocks(docs: DataFrame) -> DataFrame:
     """(id, held_out, text) -> for each block its documents as word numbers, and its words with training counts."""
     kind = dict(docs.dtypes)["id"]
@@ -67,23 +89,16 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for a, b in text_slices(batch.column(2), 512):
-                held = batch.column(1).slice(a, b - a).to_pylist()
-                packed, sizes = [], []
-                for text, out in zip(batch.column(2).slice(a, b - a).to_pylist(), held):
-                    words = words_of(text)
-                    for w in set(words):
-                        if w not in numbers:
-                            numbers[w] = len(numbers)
-                    ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-                    ids = np.append(ids, np.int32(0))
-                    if not out:
-                        counts.append(ids)
-                    sizes.append(len(ids))
-                    packed.append((ids & 0xFFFF).astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes())
+            for a, b in text_slices(batch.column(2), 1024):
+                held = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+                flat, sizes = numbered_words(batch.column(2).slice(a, b - a), numbers)
+                ends = np.cumsum(sizes)
+                counts.append(flat[np.repeat(~held.astype(bool), sizes)])
+                low, high = (flat & 0xFFFF).astype("<u2"), (flat >> 16).astype(np.uint8)
+                packed = [low[x:y].tobytes() + high[x:y].tobytes() for x, y in zip((ends - sizes).tolist(), ends.tolist())]
                 none = pa.nulls(b - a, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), none, pa.nulls(b - a, pa.int32())], names=names)
-                size += sum(sizes)
+                size += len(flat)
                 if size > BLOCK_TOKENS:
                     yield from word_list()
                     block, size, numbers, counts = block + 1, 0, {END_WORD: 0}, []
@@ -110,11 +125,6 @@ def triples(outcomes: np.ndarray, sizes: np.ndarray, used: int) -> np.ndarray:
     return (skip << (own + bits)) | (before << bits) | outcomes
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
 class MaxEnt:
     """used outcomes; counts and times, falling, tell the training counts of outcomes from END on (times outcomes with each)."""
 
@@ -126,7 +136,7 @@ class MaxEnt:
         self._bias = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_bias": None}  # tasks build it from the counts
+        return self.__dict__ | {"_bias": None}  # tasks get it by a broadcast, or build it from the counts
 
     def groups(self):
         """(first outcome, first child of the root, outcomes a child, depth)"""
@@ -146,31 +156,44 @@ class MaxEnt:
         return np.maximum(totals[k] - self.counts[k] * (ends[k] - np.clip(x, END, self.used)), 0)
 
     def node_bias(self, first: np.ndarray, width: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Logs of the counts below the children of nodes that begin at outcome first and have width outcomes a child, up to stop."""
+        """Logs of the shares of the counts below the children of nodes that begin at outcome first and have width outcomes a child, up to stop."""
         edges = np.minimum(first[:, None] + width[:, None] * np.arange(CLASSES + 1), stop[:, None])
-        mass = np.diff(self.below(edges), axis=1)
-        return np.where(mass > 0, np.log(np.maximum(mass, 1)), -1e9).astype(np.float32)
+        return self.logs(np.diff(self.below(edges), axis=1))
+
+    def far_bias(self, first: np.ndarray, width: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """node_bias of nodes that most often lie in a stretch of outcomes of one count, where all children have the same share."""
+        ends, last = np.cumsum(self.times) + END, first + width * CLASSES
+        even = (last <= stop) & (np.searchsorted(ends, first, "right") == np.searchsorted(ends, last - 1, "right")) & (first >= END)
+        out = np.full((len(first), CLASSES), -np.log(CLASSES), np.float32)
+        out[~even] = self.node_bias(first[~even], width[~even], stop[~even])
+        return out
+
+    @staticmethod
+    def logs(mass: np.ndarray) -> np.ndarray:
+        total = mass.sum(-1, keepdims=True)
+        return np.where(mass > 0, np.log(np.maximum(mass, 1) / np.maximum(total, 1)), np.where(total > 0, -1e9, 0)).astype(np.float32)
 
     def bias(self) -> tuple[np.ndarray, np.ndarray]:
         """The table of node_bias for the root and the levels of at most TABLE nodes, and where each group's levels begin (-1: not there)."""
         if self._bias is None:
             groups = list(self.groups())
-            rows, at, root = [np.zeros((1, CLASSES), np.float32)], 1, np.full(CLASSES, -1e9, np.float32)
+            rows, at, root = [np.zeros((1, CLASSES), np.float32)], 1, np.zeros(CLASSES)
             begins = np.full((len(groups), max(g[3] for g in groups)), -1)
             for k, (first, child, width, depth) in enumerate(groups):
                 stop = groups[k + 1][0] if k + 1 < len(groups) else self.used
                 stop = max(min(stop, self.used), first)
                 m = -(-(stop - first) // width)
                 edges = self.below(np.minimum(first + width * np.arange(m + 1), stop))
-                root[child : child + m] = np.where(np.diff(edges) > 0, np.log(np.maximum(np.diff(edges), 1)), -1e9)
+                root[child : child + m] = np.diff(edges)
                 for level in range(1, depth):
                     own = width // CLASSES ** (level - 1)  # outcomes below a node
                     m = max(1, -(-(stop - first) // own))
                     if m <= TABLE:
                         begins[k, level] = at
-                        rows.append(self.node_bias(first + own * np.arange(m), np.full(m, own // CLASSES), np.full(m, stop)))
+                        edges = np.minimum(first + own // CLASSES * np.arange(m * CLASSES + 1), stop)
+                        rows.append(self.logs(np.diff(self.below(edges)).reshape(m, CLASSES)))
                         at += m
-            rows[0][0] = root
+            rows[0][0] = self.logs(root)
             self._bias = np.concatenate(rows), begins
         return self._bias
 
@@ -204,16 +227,15 @@ class MaxEnt:
             if level and (begin < 0).any():
                 z = np.empty((len(at), CLASSES), np.float32)
                 far = begin < 0
-                z[~far] = table[node[~far]]
-                stop = np.append(first_of[1:], self.used)[group[at][far]]
-                z[far] = self.node_bias(first[at][far] + place[far] * below[far] * CLASSES, below[far], np.minimum(stop, self.used))
+                z[~far] = np.take(table, node[~far], axis=0)
+                stop = np.minimum(np.append(first_of[1:], self.used)[group[at][far]], self.used)
+                z[far] = self.far_bias(first[at][far] + place[far] * below[far] * CLASSES, below[far], stop)
             else:
-                z = table[node]
+                z = np.take(table, node, axis=0)
             with np.errstate(over="ignore"):
                 rows = ((features[:, at] + node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * _MIX >> np.uint64(64 - size)).astype(np.int64)
-            z += weights[rows[0]]
-            z += weights[rows[1]]
-            z += weights[rows[2]]
+            for own in rows:
+                z += np.take(weights, own, axis=0)
             yield level, at, rows, z, child
 
     def log10(self, code: np.ndarray) -> np.ndarray:
@@ -221,29 +243,28 @@ class MaxEnt:
         for a, b in slices(len(code), 50_000):
             for _, at, _, z, child in self.steps(code[a:b]):
                 z = z.astype(float)
-                top = z.max(1)
-                out[a + at] += z[np.arange(len(at)), child] - top - np.log(np.exp(z - top[:, None]).sum(1))
+                own = z[np.arange(len(at)), child]
+                out[a + at] += own - np.log(np.einsum("ij->i", np.exp(z, out=z)))  # shares and bounded weights cannot overflow
         return out / np.log(10)
 
     def gradients(self, code: np.ndarray, n: np.ndarray, sums: list[np.ndarray] | None = None) -> list[np.ndarray]:
-        """For both tables, by child and row: how often the right child was seen, and how often the model expected each child.
+        """For both tables, by row and child: how often the right child was seen, and how often the model expected each child.
 
         The gradient of the log likelihood is seen less expected. Adds to sums if they are given.
         """
-        sums = sums or [np.zeros((2, CLASSES, 1 << bits)) for bits in (self.class_bits, self.word_bits)]
-        for a, b in slices(len(code), 200_000):
+        sums = sums or [np.zeros((2, 1 << bits, CLASSES), np.float32) for bits in (self.class_bits, self.word_bits)]
+        children = np.arange(CLASSES)
+        for a, b in slices(len(code), 50_000):
             weight = n[a:b].astype(np.float32)
             for level, at, places, z, child in self.steps(code[a:b]):
                 w, (seen, expected) = weight[at], sums[level > 0]
-                size = seen.shape[1]
-                z -= z.max(1, keepdims=True)
+                z = z.view(np.float32)  # tables that came by a broadcast have a type object of their own, which numpy adds slowly
                 np.exp(z, out=z)
-                z *= (w / z.sum(1))[:, None]
-                z = np.ascontiguousarray(z.T)
+                z *= (w / np.einsum("ij->i", z))[:, None]
                 for rows in places:
-                    np.add.at(seen.reshape(-1), child * size + rows, w.astype(float))
-                    for k in range(CLASSES):
-                        expected[k] += np.bincount(rows, z[k], size)
+                    rows = rows * CLASSES
+                    np.add.at(seen.reshape(-1), rows + child, w)
+                    np.add.at(expected.reshape(-1), (rows[:, None] + children).reshape(-1), z.reshape(-1))
         return sums
 
 
@@ -262,19 +283,19 @@ def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) ->
     shares = min(max(tokens // ROUND_TOKENS, 1), rounds)
     spark = docs.sparkSession
     tasks = spark.sparkContext.defaultParallelism
+    tables = spark.sparkContext.broadcast(model.bias())  # TABLE bounds it
     for k in range(rounds):
 
         def run(batches, model=model):
-            sums = None
+            model._bias, sums = tables.value, None
             for batch in batches:
-                for a, b in slices(batch.num_rows, 2048):
+                for a, b in slices(batch.num_rows, 1024):
                     flat, sizes = unpacked(batch.column(0).slice(a, b - a))
                     sums = model.gradients(*np.unique(triples(flat, sizes, model.used), return_counts=True), sums)
             for base, total in zip((0, 1 << model.class_bits), sums or ()):
-                total = total.reshape(2 * CLASSES, -1)
-                keys = np.flatnonzero(total[CLASSES:].any(0))
+                keys = np.flatnonzero(total[1].any(1))
                 for a, b in slices(len(keys), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(x[keys[a:b]].astype(np.float32)) for x in total)], names=["place", *columns])
+                    yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(np.ascontiguousarray(x)) for t in total for x in t[keys[a:b]].T)], names=["place", *columns])
 
         own = docs.where(F.col("part") % shares == k % shares).select("ids").coalesce(tasks)
         with cleaned(spark):
@@ -282,7 +303,7 @@ def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) ->
         place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
         inner = place < 1 << model.class_bits
         for weights, rows, v in ((model.classes, place[inner], values[inner]), (model.words, place[~inner] - (1 << model.class_bits), values[~inner])):
-            weights[rows] += update(weights[rows], v[:, :CLASSES], v[:, CLASSES:])
+            weights[rows] = np.clip(weights[rows] + update(weights[rows], v[:, :CLASSES], v[:, CLASSES:]), -LARGEST, LARGEST)
     return model
 
 
@@ -357,9 +378,12 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
         discard(used_up)
     model = train(numbered.where("not held_out").select("part", "ids"), model, n)
 
+    tables = df.sparkSession.sparkContext.broadcast(model.bias())
+
     def score(batches):
+        model._bias = tables.value
         for batch in batches:
-            for a, b in slices(batch.num_rows, 2048):
+            for a, b in slices(batch.num_rows, 1024):
                 flat, sizes = unpacked(batch.column(6).slice(a, b - a))
                 codes, at = np.unique(triples(flat, sizes, used), return_inverse=True)
                 other = codes & ((1 << context_bits(used)[0]) - 1) == OTHER

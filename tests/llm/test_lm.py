@@ -49,8 +49,8 @@ def test_gradients():
     n = rng.integers(1, 4, len(codes))
     total = lambda: float((n * model.log10(codes)).sum() * math.log(10))
     for weights, (seen, expected) in zip((model.classes, model.words), model.gradients(codes, n)):
-        assert abs(seen.sum() - expected.sum()) < 1e-3 and (seen.sum(0) > 0).any()
-        for row in rng.choice(np.flatnonzero(expected.any(0)), 25):
+        assert abs(seen.sum() - expected.sum()) < 1e-3 and (seen.sum(1) > 0).any()
+        for row in rng.choice(np.flatnonzero(expected.any(1)), 25):
             k = int(rng.integers(0, lm.CLASSES))
             before = weights[row, k]
             sides = []
@@ -58,7 +58,7 @@ def test_gradients():
                 weights[row, k] = before + np.float32(d)
                 sides.append(total())
             weights[row, k] = before
-            assert abs((sides[0] - sides[1]) / 0.02 - (seen - expected)[k, row]) < 0.02
+            assert abs((sides[0] - sides[1]) / 0.02 - (seen - expected)[row, k]) < 0.02
 
 
 def test_steps_raise_the_likelihood():
@@ -69,7 +69,7 @@ def test_steps_raise_the_likelihood():
     n, before = np.full(len(codes), 5), model.log10(codes).sum()
     for _ in range(6):
         for weights, (seen, expected) in zip((model.classes, model.words), model.gradients(codes, n)):
-            weights += lm.update(weights, seen.T, expected.T)
+            weights += lm.update(weights, seen, expected)
         now = model.log10(codes).sum()
         assert now > before
         before = now
@@ -88,3 +88,18 @@ def test_base_score(spark):
         assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens, rows[i].held_out) == (len(own), sum(c[w] > 0 for w in own), n, i % 3 == 1)
         assert abs(rows[i].base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
     assert lm.language_scores(df.limit(0), F.col("doc_id") >= 0).count() == 0
+
+
+def test_words_by_arrow():
+    import pyarrow as pa
+
+    rng = random.Random(34)
+    texts = ODD + [" A\tb\x0b\x0cC\r\n", "\x1c x\x1d", "ÀÉ İstanbul ß", "\u00a0a\u2003b"] + ["".join(rng.choice("aB \n\té\x00") for _ in range(50)) for _ in range(40)]
+    numbers = {lm.END_WORD: 0}
+    flat, sizes = lm.numbered_words(pa.array(texts, pa.string()), numbers)
+    names = {n: w for w, n in numbers.items()}
+    at = 0
+    for t, n in zip(texts, sizes):
+        assert [names[x] for x in flat[at : at + n]] == lm.words_of(t) + [lm.END_WORD]
+        at += n
+    assert at == len(flat) and lm.numbered_words(pa.array([], pa.string()), numbers)[0].tolist() == []
