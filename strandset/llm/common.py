@@ -106,6 +106,16 @@ def filtered(df: DataFrame, text_col: str, decide, rows: int = 512) -> DataFrame
     return df.mapInArrow(run, df.schema)
 
 
+def release() -> None:
+    """Gives memory that a task has used and freed back to the machine, where the C library can: workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class TwoGenerationCache:
     """A memo for one task: when the young generation is full it becomes the old one, and what the old one held is forgotten.
 

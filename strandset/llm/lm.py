@@ -11,7 +11,7 @@ Counts: every task numbers the words of its block of documents and writes the nu
 list. Word lists, not texts, meet in the global count, and go back to their block with counts and outcomes attached.
 Training: each round the tasks compute gradients and curvature over their share of the tokens, Spark sums them by table
 row, and the driver takes the step. Every training token counts in as many rounds as any other: in all of them where
-there are few tokens, in one where there are many. Scoring evaluates each distinct triple of a batch once.
+there are few tokens, in one where there are many. Scoring evaluates the triples of a batch in order.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cleaned, discard, id_remainder, slices, stored, table, text_slices
+from .common import cleaned, discard, id_remainder, release, slices, stored, table, text_slices
 
 CLASSES = 16
 OUTCOMES = CLASSES * CLASSES  # no model has fewer places for outcomes
@@ -77,11 +77,10 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
     def run(batches):
         block, size = TaskContext.get().partitionId() << 24, 0
         numbers: dict[bytes, int] = {END_WORD: 0}
-        counts: list[np.ndarray] = []
+        counts = np.zeros(1, np.int64)
 
         def word_list():
-            n = np.bincount(np.concatenate(counts), minlength=len(numbers)) if counts else np.zeros(len(numbers), np.int64)
-            m, ws = len(numbers), list(numbers)
+            n, m, ws = np.append(counts, np.zeros(len(numbers) - len(counts), np.int64)), len(numbers), list(numbers)
             for a, b in slices(m, 20_000):
                 none = lambda t: pa.nulls(b - a, t)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), none(id_type), none(pa.bool_()), pa.array(n[a:b]), none(pa.binary()), pa.array(ws[a:b], pa.binary()), pa.array(np.arange(a, b, dtype=np.int32))], names=names)
@@ -93,7 +92,9 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
                 held = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
                 flat, sizes = numbered_words(batch.column(2).slice(a, b - a), numbers)
                 ends = np.cumsum(sizes)
-                counts.append(flat[np.repeat(~held.astype(bool), sizes)])
+                new = np.bincount(flat[np.repeat(~held.astype(bool), sizes)], minlength=len(numbers))
+                new[: len(counts)] += counts
+                counts = new
                 low, high = (flat & 0xFFFF).astype("<u2"), (flat >> 16).astype(np.uint8)
                 packed = [low[x:y].tobytes() + high[x:y].tobytes() for x, y in zip((ends - sizes).tolist(), ends.tolist())]
                 none = pa.nulls(b - a, pa.binary())
@@ -101,9 +102,11 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
                 size += len(flat)
                 if size > BLOCK_TOKENS:
                     yield from word_list()
-                    block, size, numbers, counts = block + 1, 0, {END_WORD: 0}, []
+                    block, size, numbers, counts = block + 1, 0, {END_WORD: 0}, np.zeros(1, np.int64)
         if id_type is not None:
             yield from word_list()
+        numbers, counts = {END_WORD: 0}, None
+        release()
 
     return docs.select("id", "held_out", "text").mapInArrow(run, schema)
 
@@ -205,7 +208,7 @@ class MaxEnt:
         with np.errstate(over="ignore"):
             b, s = before.astype(np.uint64) * np.uint64(2) + np.uint64(1), skip.astype(np.uint64) * np.uint64(2) + np.uint64(2)
             features = np.stack([b * _MIX, s * _MIX, (s * _MIX ^ b) * np.uint64(0xC2B2AE3D27D4EB4F) + s])
-            features ^= features >> np.uint64(29)
+            features = (features >> np.uint64(32)).astype(np.uint32)
         groups = list(self.groups())
         first_of = np.array([g[0] for g in groups])
         group = np.searchsorted(first_of, outcome, "right") - 1
@@ -233,7 +236,10 @@ class MaxEnt:
             else:
                 z = np.take(table, node, axis=0)
             with np.errstate(over="ignore"):
-                rows = ((features[:, at] + node.astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * _MIX >> np.uint64(64 - size)).astype(np.int64)
+                own = (node ^ node >> 32).astype(np.uint32) * np.uint32(0x9E3779B1)
+                rows = (features if len(at) == len(code) else features[:, at]) + own
+                rows ^= rows >> np.uint32(15)
+                rows = (rows * np.uint32(0x85EBCA77) >> np.uint32(32 - size)).astype(np.int64)
             for own in rows:
                 z += np.take(weights, own, axis=0)
             yield level, at, rows, z, child
@@ -296,6 +302,7 @@ def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) ->
                 keys = np.flatnonzero(total[1].any(1))
                 for a, b in slices(len(keys), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(np.ascontiguousarray(x)) for t in total for x in t[keys[a:b]].T)], names=["place", *columns])
+            release()
 
         own = docs.where(F.col("part") % shares == k % shares).select("ids").coalesce(tasks)
         with cleaned(spark):
@@ -353,7 +360,8 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
     used = 2 + int(times.sum())
     word_bits = min(MOST_BITS, max(WORD_BITS, int(np.ceil(np.log2(ROWS * np.sqrt(n + 1))))))
     model = MaxEnt(used, np.append(max(ends, 1), values), np.append(1, times), max(CLASS_BITS, word_bits - 3), word_bits)
-    words = listed.drop("n").join(counts.join(by_frequency(counts), "word", "left"), "word")
+    # hashed, for a partition's different words are few beside the rows that ask for them, which then need no sort
+    words = listed.drop("n").join(counts.join(by_frequency(counts).hint("shuffle_hash"), "word", "left").hint("shuffle_hash"), "word")
     words = words.select("block", "place", "c", F.when(F.col("word") == F.lit(END_WORD), END).otherwise(F.coalesce("outcome", F.lit(OTHER))).cast("int").alias("outcome"))
     told = blocks.where("word is null").select("block", "id", "held_out", "ids")
     all_log, other_log, seen_log = float(np.log10(n + v + 1)), float(np.log10((once + 1) / (n + once + 2))), float(np.log10((n + 1) / (n + once + 2)))
@@ -385,12 +393,13 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for a, b in slices(batch.num_rows, 1024):
                 flat, sizes = unpacked(batch.column(6).slice(a, b - a))
-                codes, at = np.unique(triples(flat, sizes, used), return_inverse=True)
-                other = codes & ((1 << context_bits(used)[0]) - 1) == OTHER
-                logs = np.full(len(codes), other_log)
-                logs[~other] = model.log10(codes[~other]) + seen_log
-                own = np.add.reduceat(logs[at], np.cumsum(sizes) - sizes)
+                codes, logs = triples(flat, sizes, used), np.full(len(flat), other_log)
+                known = np.flatnonzero(flat != OTHER)
+                known = known[np.argsort(codes[known])]  # equal contexts together, which read the same rows
+                logs[known] = model.log10(codes[known]) + seen_log
+                own = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(6)), pa.array(own)], names=names)
+        release()
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     shown = numbered.select("id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "ids")
