@@ -33,15 +33,17 @@ def cleaned(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends here, and a lost executor loses nothing.
 
+    With by, rows of one value of that column have files of their own.
+
     The shuffle files of the write, which nothing needs any more, are removed when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     with cleaned(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -282,11 +282,16 @@ def unpacked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.empty(0, np.int64), sizes
 
 
+def shares_of(tokens: int, rounds: int) -> int:
+    """Into how many shares the tokens are dealt, of which each round takes one."""
+    return min(max(tokens // ROUND_TOKENS, 1), rounds)
+
+
 def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) -> MaxEnt:
-    """Distributed updates over (part, ids): gradients by task, summed by row of the tables, at most all rows to the driver."""
+    """Distributed updates over (share, ids): gradients by task, summed by row of the tables, at most all rows to the driver."""
     columns = [f"{kind}{i}" for kind in ("seen", "expected") for i in range(CLASSES)]
     schema = "place long, " + ", ".join(f"{c} float" for c in columns)
-    shares = min(max(tokens // ROUND_TOKENS, 1), rounds)
+    shares = shares_of(tokens, rounds)
     spark = docs.sparkSession
     tasks = spark.sparkContext.defaultParallelism
     tables = spark.sparkContext.broadcast(model.bias())  # TABLE bounds it
@@ -304,7 +309,7 @@ def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) ->
                     yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(np.ascontiguousarray(x)) for t in total for x in t[keys[a:b]].T)], names=["place", *columns])
             release()
 
-        own = docs.where(F.col("part") % shares == k % shares).select("ids").coalesce(tasks)
+        own = docs.where(F.col("share") == k % shares).select("ids").coalesce(tasks)
         with cleaned(spark):
             sums = own.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
         place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
@@ -381,10 +386,11 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
         return pa.table({"id": docs["id"], "held_out": docs["held_out"], "part": pa.array(part), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array(sizes), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64())})
 
     schema = f"id {kind}, held_out boolean, part long, ids binary, n_tokens long, n_known long, base_score double"
-    numbered = stored(told.groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(number, schema), "numbered")
+    numbered = told.groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(number, schema)
+    numbered = stored(numbered.withColumn("share", (F.col("part") % shares_of(n, ROUNDS)).cast("int")), "numbered", by="share")  # a round reads its share only
     for used_up in (blocks, counts):
         discard(used_up)
-    model = train(numbered.where("not held_out").select("part", "ids"), model, n)
+    model = train(numbered.where("not held_out").select("share", "ids"), model, n)
 
     tables = df.sparkSession.sparkContext.broadcast(model.bias())
 
