@@ -9,8 +9,8 @@ OTHER has the Good-Turing share of words seen once.
 
 Counts: every task numbers the words of its block of documents and writes the numbered documents and the block's word
 list. Word lists, not texts, meet in the global count, and go back to their block with counts and outcomes attached.
-Training: each round the tasks compute gradients and curvature over their share of the tokens, Spark sums them by table
-row, and the driver takes the step. Every training token counts in as many rounds as any other: in all of them where
+Training: each round the tasks compute gradients and curvature over their share of the tokens, other tasks sum them by
+table row and take the step, and the driver passes the new weights on to the next round. Every training token counts in as many rounds as any other: in all of them where
 there are few tokens, in one where there are many. Scoring evaluates the triples of a batch in order.
 """
 
@@ -34,6 +34,8 @@ CLASS_BITS, WORD_BITS, MOST_BITS = 13, 14, 20  # of the smallest tables, and of
 TABLE = 1 << 18
 #: Rows of the lower table for each root of the number of tokens.
 ROWS = 8
+#: Rows of a table whose sums travel in one row of Spark, and such rows whose new weights do.
+TOGETHER, STEPPED = 64, 32
 ROUNDS, STEP, PRIOR, FARTHEST, LARGEST = 8, 0.4, 2.0, 0.6, 15.0
 #: Where a round has more tokens than this, rounds share the tokens out.
 ROUND_TOKENS = 250_000
@@ -134,12 +136,15 @@ class MaxEnt:
     def __init__(self, used: int, counts=None, times=None, class_bits: int = CLASS_BITS, word_bits: int = WORD_BITS):
         self.used, self.counts, self.times = used, np.array([1] if counts is None else counts), np.array([used - 1] if times is None else times)
         self.class_bits, self.word_bits = class_bits, word_bits
-        self.classes = np.zeros((1 << class_bits, CLASSES), np.float32)
-        self.words = np.zeros((1 << word_bits, CLASSES), np.float32)
-        self._bias = None
+        self.lay(np.zeros(((1 << class_bits) + (1 << word_bits), CLASSES), np.float32))
 
     def __getstate__(self):
-        return self.__dict__ | {"_bias": None}  # tasks get it by a broadcast, or build it from the counts
+        return self.__dict__ | dict.fromkeys(("_bias", "weights", "classes", "words"))  # tasks get them by broadcasts, see lay
+
+    def lay(self, weights: np.ndarray, bias=None) -> None:
+        """Takes the weights of both tables, one after the other, and what bias() returns (None: it is built from the counts)."""
+        self.weights = weights.view(np.float32)  # arrays that came by a broadcast have a type object of their own, which numpy adds slowly
+        self.classes, self.words, self._bias = self.weights[: 1 << self.class_bits], self.weights[1 << self.class_bits :], bias
 
     def groups(self):
         """(first outcome, first child of the root, outcomes a child, depth)"""
@@ -264,7 +269,7 @@ class MaxEnt:
             weight = n[a:b].astype(np.float32)
             for level, at, places, z, child in self.steps(code[a:b]):
                 w, (seen, expected) = weight[at], sums[level > 0]
-                z = z.view(np.float32)  # tables that came by a broadcast have a type object of their own, which numpy adds slowly
+                z = z.view(np.float32)  # the table of shares came by a broadcast, see lay
                 np.exp(z, out=z)
                 z *= (w / np.einsum("ij->i", z))[:, None]
                 for rows in places:
@@ -287,35 +292,70 @@ def shares_of(tokens: int, rounds: int) -> int:
     return min(max(tokens // ROUND_TOKENS, 1), rounds)
 
 
-def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) -> MaxEnt:
-    """Distributed updates over (share, ids): gradients by task, summed by row of the tables, at most all rows to the driver."""
-    columns = [f"{kind}{i}" for kind in ("seen", "expected") for i in range(CLASSES)]
-    schema = "place long, " + ", ".join(f"{c} float" for c in columns)
+def packed_sums(base: int, total: np.ndarray):
+    """Sums of a table (see MaxEnt.gradients) whose rows are numbered from base on: (chunk, rows, sums) for each TOGETHER rows of which some were touched."""
+    keys = np.flatnonzero(total[1].any(1))
+    for a, b in slices(len(keys), 10_000):
+        place, values = base + keys[a:b], np.concatenate(total[:, keys[a:b]], axis=1)
+        chunks, begins = np.unique(place // TOGETHER, return_index=True)
+        rows, cuts = (place % TOGETHER).astype(np.uint8), list(zip(begins.tolist(), [*begins[1:].tolist(), b - a]))
+        yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([rows[x:y].tobytes() for x, y in cuts], pa.binary()), pa.array([values[x:y].tobytes() for x, y in cuts], pa.binary())], names=["chunk", "rows", "sums"])
+
+
+def new_weights(batches, weights: np.ndarray):
+    """Adds what packed_sums gave, and takes the step: (places, weights), the numbers of rows of the tables and what they now hold."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, rows, values in zip(*(c.to_pylist() for c in batch.columns)):
+            if chunk not in sums:
+                sums[chunk] = np.zeros((TOGETHER, 2 * CLASSES))
+            sums[chunk][np.frombuffer(rows, np.uint8)] += np.frombuffer(values, np.float32).reshape(-1, 2 * CLASSES)
+    chunks = sorted(sums)
+    for a, b in slices(len(chunks), STEPPED):
+        total = np.concatenate([sums[c] for c in chunks[a:b]]).astype(np.float32)
+        touched = np.flatnonzero(total[:, CLASSES:].any(1))
+        place, total = (np.array(chunks[a:b])[:, None] * TOGETHER + np.arange(TOGETHER)).reshape(-1)[touched], total[touched]
+        own = weights[place]
+        own = np.clip(own + update(own, total[:, :CLASSES], total[:, CLASSES:]), -LARGEST, LARGEST)
+        yield pa.RecordBatch.from_arrays([pa.array([place.astype(np.int32).tobytes()], pa.binary()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], names=["places", "weights"])
+
+
+def train(docs: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS, tables=None) -> MaxEnt:
+    """Distributed updates over (share, ids): gradients by task, summed and stepped by row of the tables, at most all rows' new weights to the driver.
+
+    tables is a broadcast of model.bias(). Weights go out by a broadcast for each round, which ends with it: what the
+    driver holds does not grow with the rounds.
+    """
     shares = shares_of(tokens, rounds)
     spark = docs.sparkSession
-    tasks = spark.sparkContext.defaultParallelism
-    tables = spark.sparkContext.broadcast(model.bias())  # TABLE bounds it
+    context = spark.sparkContext
+    tables = tables or context.broadcast(model.bias())  # TABLE bounds it
     for k in range(rounds):
+        weights = context.broadcast(model.weights)
 
-        def run(batches, model=model):
-            model._bias, sums = tables.value, None
+        def run(batches, weights=weights):
+            model.lay(weights.value, tables.value)
+            sums = None
             for batch in batches:
                 for a, b in slices(batch.num_rows, 1024):
                     flat, sizes = unpacked(batch.column(0).slice(a, b - a))
                     sums = model.gradients(*np.unique(triples(flat, sizes, model.used), return_counts=True), sums)
             for base, total in zip((0, 1 << model.class_bits), sums or ()):
-                keys = np.flatnonzero(total[1].any(1))
-                for a, b in slices(len(keys), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(base + keys[a:b]), *(pa.array(np.ascontiguousarray(x)) for t in total for x in t[keys[a:b]].T)], names=["place", *columns])
+                yield from packed_sums(base, total)
+            release()
+
+        def step(batches, weights=weights):
+            yield from new_weights(batches, weights.value.view(np.float32))
             release()
 
-        own = docs.where(F.col("share") == k % shares).select("ids").coalesce(tasks)
+        own = docs.where(F.col("share") == k % shares).select("ids").coalesce(context.defaultParallelism)
         with cleaned(spark):
-            sums = own.mapInArrow(run, schema).groupBy("place").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
-        place, values = sums["place"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], 1) if sums.num_rows else np.zeros((0, 2 * CLASSES))
-        inner = place < 1 << model.class_bits
-        for weights, rows, v in ((model.classes, place[inner], values[inner]), (model.words, place[~inner] - (1 << model.class_bits), values[~inner])):
-            weights[rows] = np.clip(weights[rows] + update(weights[rows], v[:, :CLASSES], v[:, CLASSES:]), -LARGEST, LARGEST)
+            new = own.mapInArrow(run, "chunk long, rows binary, sums binary").repartition("chunk").mapInArrow(step, "places binary, weights binary").toArrow()
+        weights.destroy()
+        for places, values in zip(new["places"].to_pylist(), new["weights"].to_pylist()):
+            model.weights[np.frombuffer(places, np.int32)] = np.frombuffer(values, np.float32).reshape(-1, CLASSES)
+        del new, own, run, step
+        release()
     return model
 
 
@@ -390,12 +430,13 @@ def language_scores(df: DataFrame, training, id_col: str = "doc_id", text_col: s
     numbered = stored(numbered.withColumn("share", (F.col("part") % shares_of(n, ROUNDS)).cast("int")), "numbered", by="share")  # a round reads its share only
     for used_up in (blocks, counts):
         discard(used_up)
-    model = train(numbered.where("not held_out").select("share", "ids"), model, n)
-
-    tables = df.sparkSession.sparkContext.broadcast(model.bias())
+    context = df.sparkSession.sparkContext
+    tables = context.broadcast(model.bias())
+    train(numbered.where("not held_out").select("share", "ids"), model, n, tables=tables)
+    weights = context.broadcast(model.weights)
 
     def score(batches):
-        model._bias = tables.value
+        model.lay(weights.value, tables.value)
         for batch in batches:
             for a, b in slices(batch.num_rows, 1024):
                 flat, sizes = unpacked(batch.column(6).slice(a, b - a))

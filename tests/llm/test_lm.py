@@ -103,3 +103,38 @@ def test_words_by_arrow():
         assert [names[x] for x in flat[at : at + n]] == lm.words_of(t) + [lm.END_WORD]
         at += n
     assert at == len(flat) and lm.numbered_words(pa.array([], pa.string()), numbers)[0].tolist() == []
+
+
+@pytest.mark.parametrize("tokens", [1, 10 * lm.ROUND_TOKENS])
+def test_rounds_leave_little_with_the_driver(spark, monkeypatch, tokens):
+    """Rounds give the weights of a plain loop, send the driver no sums, keep weights out of the functions they ship, and end their broadcasts."""
+    from pyspark.core.broadcast import Broadcast
+    from pyspark.serializers import CloudPickleSerializer
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(35)
+    used, rounds = 300, 3
+    docs = [rng.integers(1, used, int(rng.integers(0, 30))) for _ in range(90)]
+    share = [i % 3 for i in range(len(docs))]
+    packed = [(s, bytearray((d & 0xFFFF).astype("<u2").tobytes() + (d >> 16).astype("<u2").tobytes())) for s, d in zip(share, docs)]
+    model, plain = lm.MaxEnt(used), lm.MaxEnt(used)
+    sent, ended, shipped = [], [], []
+    collect, destroy, ship = DataFrame.toArrow, Broadcast.destroy, DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: ended.append(self) or destroy(self, *a))
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a: shipped.append(len(CloudPickleSerializer().dumps(f))) or ship(self, f, *a))
+    lm.train(spark.createDataFrame(packed, "share int, ids binary").repartition(3), model, tokens, rounds)
+
+    shares, touched = lm.shares_of(tokens, rounds), []
+    for k in range(rounds):
+        own = [d for d, s in zip(docs, share) if s == k % shares and len(d)]
+        flat, sizes = np.concatenate(own), np.array([len(d) for d in own])
+        sums = plain.gradients(*np.unique(lm.triples(flat, sizes, used), return_counts=True))
+        touched.append(sum(int(expected.any(1).sum()) for _, expected in sums))
+        for weights, (seen, expected) in zip((plain.classes, plain.words), sums):
+            rows = expected.any(1)
+            weights[rows] += lm.update(weights[rows], seen[rows], expected[rows])
+    assert np.abs(plain.classes).max() > 0.1 and np.abs(plain.words).max() > 0.1
+    assert np.allclose(model.classes, plain.classes, atol=1e-4) and np.allclose(model.words, plain.words, atol=1e-4)
+    assert len(sent) == rounds and all(t.nbytes <= 72 * n + 5000 for t, n in zip(sent, touched))
+    assert max(shipped) < 100_000 and len(ended) == rounds
