@@ -54,6 +54,15 @@ def test_codes(spark, k):
     assert one[0].astype(np.int64) == code(texts[0]) and other[0].astype(np.int64) == code(rc(texts[0]))
 
 
+def test_codes_of_more_bases_keep_the_last_ones(spark):
+    longer = spark.createDataFrame([(code("GTACG"),), (code("TACG"),), (code("ACG"),)], "code long")
+    assert {(r.t, r.b, r.c) for r in longer.select(codec.decode(F.col("code"), 3).alias("t"), codec.bits(F.col("code"), 3).alias("b"), codec.canonical(F.col("code"), 3).alias("c")).collect()} == {("ACG", "000110", code("ACG"))}
+    s = KmerSet(longer, KmerMeta(3))
+    assert {r.record for r in writers.view(s, "fasta").collect()} == {f">{code(x)}\nACG" for x in ("GTACG", "TACG", "ACG")}
+    q = search.queries_from_text(spark.createDataFrame([("cgt",)], "query string"), 3)
+    assert codes(search.grep(s, q)) == [code("ACG")] * 3 and codes(search.grep(s, search.queries_from_set(s), mode="repeated")) == [code("ACG")]
+
+
 def test_decode_overflow(spark):
     with pytest.raises(Exception, match="too large"):
         spark.createDataFrame([(64,)], "c long").select(codec.checked_decode(F.col("c"), 3)).collect()
