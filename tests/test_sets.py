@@ -42,6 +42,25 @@ def test_reduced_kmers_count(spark):
         kmers(df, 3, strands=True, reduce=True)
 
 
+def test_more_sets_than_have_numbers(spark, monkeypatch):
+    rows = [(s, c) for s in ("a", "b", "c", "d", None) for c in range(ord(s or "e") - 96)]
+    t, names = table(spark, rows), ["a", "b", "c", "d", None]
+    for most in (65_535, 3):
+        monkeypatch.setattr(setops, "MOST_SETS", most)
+        for sets in (None, names):
+            assert [codes(setops.common_of(t, n, sets=sets)) for n in (1, 2, 4, 5)] == [[0, 1, 2, 3, 4], [0, 1, 2, 3], [0, 1], [0]]
+            assert codes(setops.inter_of(t, sets=sets)) == [0]
+
+
+def test_every_source_is_a_set(spark, monkeypatch, tmp_path):
+    from strandset.plans import catalogue
+
+    spark.createDataFrame([(i, "s%d" % i, "en", "abcdefghijklmnop") for i in range(20)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(setops, "MOST_SETS", 12)
+    assert len(catalogue.sources(spark, str(tmp_path))) == 20
+    assert len(codes(catalogue.member_set(spark, str(tmp_path)))) == len(codes(count(catalogue.sequences(spark, str(tmp_path)), catalogue.K, canonical=True))) > 0
+
+
 @pytest.mark.parametrize("few", [512, 2])
 def test_algebra_of_tables(spark, monkeypatch, few):
     monkeypatch.setattr(setops, "BIT_SETS", few)
