@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions.codec import unsigned_key
 from strandset.meta import KmerSet, SetTable, check_compatible
+from strandset.operators.count import chunks, kmers
 from strandset.operators.numbering import numbered
 from strandset.operators.setops import stacked
 from strandset.operators.taxonomy import Taxonomy
 from strandset.sources.readers import write_sets
+from strandset.storage import shared_folder
 
 
 def _order():
@@ -83,6 +87,62 @@ def sample(df: DataFrame, start: int = 1, window: int = 1, set_col: str = "set_i
     return kept.select(*df.columns)
 
 
+def sample_kmers(df: DataFrame, k: int, start: int = 1, window: int = 1, set_col: str = "set_id", order: tuple[str, ...] = ("id",), seq_col: str = "seq", canonical: bool = False) -> DataFrame:
+    """sample() of the k-mers of sequences, those of a set in the order given and then by pos: set_col, order, pos, code.
+
+    Sequences are put in order, not their k-mers: the driver sees the first and the last set of each range and how many k-mers they have
+    there, so that a range knows the number of its first k-mer. Sequences that share set and order are told apart k-mer by k-mer.
+    """
+    if start < 1 or window < 1:
+        raise ValueError("start and window must be positive")
+    keys = [set_col, *order]
+    alike = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if alike:
+        return sample(kmers(df, k, seq_col, tuple(keys), canonical), start, window, set_col, (*order, "pos"))
+    shared_folder(df.sparkSession)  # checkpoints need one
+    ranged = df.select(*keys, F.col(seq_col).alias("__seq")).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    at = len(keys)
+
+    def counted(batches):
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for c in chunks(batch, at, k):
+                n[c.at : c.stop] = np.bincount(c.owner, minlength=c.stop - c.at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, "__n"])
+
+    ranged = ranged.mapInArrow(counted, ranged.withColumn("__n", F.lit(0).cast("long")).schema).where("__n > 0").checkpoint()
+    sums = ranged.groupBy("__part", set_col).agg(F.sum("__n").alias("n"))
+    pair = F.struct(F.col(set_col).alias("of"), "n")
+    before, last, total = {}, None, 0
+    for r in sorted(sums.groupBy("__part").agg(F.min(pair).alias("a"), F.max(pair).alias("z")).collect(), key=lambda r: r["__part"]):
+        before[r["__part"]] = total if (r["a"]["of"],) == last else 0
+        total = r["z"]["n"] + (before[r["__part"]] if r["a"]["of"] == r["z"]["of"] else 0)
+        last = (r["z"]["of"],)
+
+    def kept(batches):
+        now, told = None, 0
+        for batch in batches:
+            n, first = batch.column(at + 2).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for i, key in enumerate(zip(batch.column(at + 1).to_pylist(), batch.column(0).to_pylist())):
+                if key != now:
+                    told = before[key[0]] if now is None or key[0] != now[0] else 0
+                    now = key
+                first[i] = told
+                told += int(n[i])
+            for c in chunks(batch, at, k):
+                own = np.bincount(c.owner, minlength=c.stop - c.at)
+                j = first[c.at : c.stop][c.owner] + np.arange(len(c.starts)) - (np.cumsum(own) - own)[c.owner] + 1
+                pick = np.flatnonzero((j >= start) & ((j - start) % window == 0))
+                rows = pa.array(c.owner[pick] + c.at)
+                arrays = [batch.column(i).take(rows) for i in range(at)] + [pa.array(c.pos()[pick]), pa.array(c.codes(canonical)[1][pick].view(np.int64))]
+                whole = pa.RecordBatch.from_arrays(arrays, names=[*keys, "pos", "code"])
+                for a in range(0, whole.num_rows, 200_000):
+                    yield whole.slice(a, 200_000)
+
+    schema = df.select(*keys).withColumns({c: F.lit(0).cast("long") for c in ("pos", "code")}).schema
+    return ranged.sortWithinPartitions(*keys).select(*keys, "__seq", "__part", "__n").mapInArrow(kept, schema)
+
+
 def tsplit(s: KmerSet, prefix: str = "taxid") -> SetTable:
     """A set for each taxid, which becomes the set's global taxid, with each k-mer once. Rows without a taxid are an error."""
     if not s.has_taxid:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandset.operators import members, search
+from strandset.operators import members, ordering, search
 from strandset.operators.count import count
 
 from .test_kmers import code, kmer_set, rc
@@ -74,3 +74,22 @@ def test_units_of_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(members, "MOST", 32)
     assert members.repeated(df, 4, "seq", "part") is None
     assert members.of_codes(spark.range(9).select(F.col("id").alias("code")), 4) is not None
+
+
+def test_sample_of_kmers_puts_sequences_in_order(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["x", "y", "z", None]), i if i else None, "".join(rng.choice("ACGT" * 9 + "N") for _ in range(rng.randrange(0, 60)))) for i in range(90)]
+    rng.shuffle(data)
+    plain = spark.createDataFrame(data, "part string, id long, seq string")
+    twice = plain.union(spark.createDataFrame([data[0]], plain.schema))
+    for df, same in ((plain, False), (twice, True)):
+        for start, window in ((1, 1), (5, 7), (40, 3)):
+            want = {}
+            for r in sorted(df.collect(), key=lambda r: (str(r.part), r.id or -1)):
+                for i in range(len(r.seq) - 3):
+                    if "N" not in r.seq[i : i + 4]:
+                        want.setdefault(r.part, []).append((r.id or -1, i, code(r.seq[i : i + 4])))
+            want = sorted((str(p), *x) for p, v in want.items() for x in sorted(v)[start - 1 :: window])
+            got = ordering.sample_kmers(df, 4, start, window, "part", ("id",))
+            assert sorted((str(r.part), r.id or -1, r.pos, r.code) for r in got.collect()) == want
+            assert same or exchanges(got) == 0
